@@ -70,24 +70,26 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: st
     return ordered, report
 
 
-def _top_up(spare: DataFrame, chosen: DataFrame, goal: dict[str, float], rounds: int = 3) -> list[DataFrame]:
-    """Where a long text at the cut leaves a source short: the spare use that comes nearest to what is missing, some times.
-
-    One row per source and round reaches the driver.
+def _top_up(spare: DataFrame, chosen: DataFrame, goal: dict[str, float], rounds: int = 6) -> list[DataFrame]:
+    """Where a long text at the cut leaves a source short, spare uses that fill what is missing: in each round the largest
+    that fits, in the last the one that comes nearest. One row per source and round reaches the driver.
     """
     spark = chosen.sparkSession
     have = {r[0]: r[1] for r in chosen.groupBy("mix_source").agg(F.sum("tokens")).collect()}
-    lack = {s: g - (have.get(s) or 0) for s, g in goal.items()}
+    lack = {s: g - (have.get(s) or 0) for s, g in goal.items() if g > (have.get(s) or 0)}
     taken: list = []
-    for _ in range(rounds):
+    for i in range(rounds):
         if not lack:
             break
         need = F.broadcast(spark.createDataFrame(list(lack.items()), "mix_source string, lack double"))
         used = F.broadcast(spark.createDataFrame(taken or [], "mix_source string, doc_id bigint, pass int, tokens bigint"))
         free = spare.join(used.drop("tokens"), ["mix_source", "doc_id", "pass"], "left_anti").join(need, "mix_source")
+        last = i == rounds - 1
+        fits = free if last else free.filter(F.col("tokens") <= F.col("lack"))
         near = F.struct(F.abs(F.col("tokens") - F.col("lack")), "doc_id", "pass")
-        best = free.groupBy("mix_source").agg(F.min_by(F.struct("doc_id", "pass", "tokens"), near).alias("b")).select("mix_source", "b.*").collect()
+        best = fits.groupBy("mix_source").agg(F.min_by(F.struct("doc_id", "pass", "tokens"), near).alias("b")).select("mix_source", "b.*").collect()
         new = [tuple(r) for r in best if abs(r["tokens"] - lack[r["mix_source"]]) < lack[r["mix_source"]]]
         taken += new
-        lack = {r[0]: lack[r[0]] - r[3] for r in new}
+        for s, _, _, t in new:
+            lack[s] -= t
     return [spark.createDataFrame(taken, "mix_source string, doc_id bigint, pass int, tokens bigint")] if taken else []

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import labels, mixing, splits, tokens
+from lexispark.llm import labels, lookalikes, mixing, mojibake, splits, tokens
 from lexispark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "posts"), table(spark, d, "sections")).select("tbl", "rec_id").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "posts"), table(spark, d, "sections"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return labels.discover(table(spark, d, "preferences"))[0].select("comparisonid", "dimension", "choice")
 
@@ -28,6 +36,14 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "comparisons"), table(spark, d, "split_targets"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_looking(table(spark, d, "posts"))
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.normal_forms(table(spark, d, "posts"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -45,7 +61,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_items, p2_annotators, p3_found, p3_split, p6_ids, p6_text, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_items, p2_annotators, p3_found, p3_split, p5_found, p5_forms, p6_ids, p6_text, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
