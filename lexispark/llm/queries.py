@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import labels, lookalikes, mixing, mojibake, splits, tokens
-from lexispark.session import table
+from lexispark.llm import labels, lookalikes, mixing, mojibake, sentences, splits, subjects, tokens
+from lexispark.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,20 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "comparisons"), table(spark, d, "split_targets"))
 
 
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    posts, captures = table(spark, d, "posts"), table(spark, d, "ginza_discourse_modesty")
+    cases = materialize(mojibake.restore(posts, None).select("tbl", "rec_id").distinct(), "cases")
+    return sentences.split(sentences.corpus(posts, captures).join(cases, ["tbl", "rec_id"], "left_anti"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).select("tbl", "rec_id", "start_at").distinct()
+
+
+def p4_spans(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking(table(spark, d, "posts"))
 
@@ -60,8 +74,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.classify(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), p8_found(spark, d))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_items, p2_annotators, p3_found, p3_split, p5_found, p5_forms, p6_ids, p6_text, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_items, p2_annotators, p3_found, p3_split, p4_found, p4_spans, p5_found, p5_forms, p6_ids, p6_text, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
