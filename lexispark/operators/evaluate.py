@@ -80,9 +80,9 @@ def linear_score(features: DataFrame, coefficients: DataFrame, key: str, interce
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (rho): correlation of mean ranks. Ranks are made from counts of distinct values, not by sorting all rows in one task."""
     def ranked(c: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return n.select(c, (before + (F.col("__n") + 1) / 2).alias(f"r_{c}"))
 
     return df.join(ranked(x), x).join(ranked(y), y).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
 
