@@ -6,6 +6,8 @@ the tables, whose size does not depend on the corpus, are broadcast to the tasks
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 BITS = (16, 20, 21)  # slots of the tables of single characters, pairs and triples
@@ -15,6 +17,20 @@ WEIGHTS = (0.001, 0.1, 0.3, 0.599)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def pack(table: np.ndarray) -> tuple:
+    """A sparse, compressed copy of a table of counts, to be broadcast."""
+    flat = table.ravel()
+    at = np.flatnonzero(flat)
+    return table.shape, zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(flat[at].astype(np.float32).tobytes(), 1)
+
+
+def unpack(packed: tuple) -> np.ndarray:
+    shape, gaps, values = packed
+    out = np.zeros(int(np.prod(shape)), dtype=np.float32)
+    out[np.cumsum(np.frombuffer(zlib.decompress(gaps), dtype=np.uint32).astype(np.int64))] = np.frombuffer(zlib.decompress(values), dtype=np.float32)
+    return out.reshape(shape)
+
+
 def codes(text: str) -> np.ndarray:
     """Code points with every ASCII and full-width digit as 0."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
@@ -46,7 +62,7 @@ class Model:
     """Interpolated trigram probabilities from a table of counts."""
 
     def __init__(self, table: np.ndarray):
-        self.one, self.two, self.three = (table[a : a + (1 << b)].astype(np.float32) for a, b in zip(OFFSET, BITS))
+        self.one, self.two, self.three = (table[a : a + (1 << b)].astype(np.float32, copy=False) for a, b in zip(OFFSET, BITS))
         self.total = max(float(self.one.sum()), 1.0)
 
     def char_scores(self, text: str) -> np.ndarray:

@@ -47,7 +47,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d)
+    return _p4(spark, d).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.charlm import pack, unpack
 from lexispark.llm.lookalikes import LETTERS, SHAPE, _BASE
 
 DEPTH = 8  # characters of an opening or closing that are looked at
@@ -154,7 +155,7 @@ class Lines:
 
 class Model:
     def __init__(self, table: np.ndarray):
-        t = table.astype(np.float32)
+        t = table.astype(np.float32, copy=False)
         self.t = [t[k << BITS : (k + 1) << BITS] for k in range(TABLES)]
         # every line gives DEPTH slots
         self.lines, self.inner = max(float(self.t[0].sum()) / DEPTH, 1.0), max(float(self.t[1].sum()) / DEPTH, 1.0)
@@ -305,14 +306,14 @@ def split(texts: DataFrame) -> DataFrame:
     """(tbl, rec_id, start_at, end_at): one row per sentence of each row (tbl, rec_id, text).
 
     Offsets count Unicode characters of the stored text from 0; the end is after the sentence's last non-blank
-    character. Null, empty and blank texts have no sentences. Repeated rows give repeated sentences once. Texts of any
+    character. Null, empty and blank texts have no sentences. Repeated rows give repeated sentences. Texts of any
     length are split whole.
     """
     rows = texts.select("tbl", "rec_id", "text").filter("text is not null and text <> ''")
-    shared = rows.sparkSession.sparkContext.broadcast(train(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(pack(train(rows)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(shared.value)
+        model = Model(unpack(shared.value))
         for b in batches:
             t = b["text"].tolist()
             starts: list[list[int]] = []
@@ -324,13 +325,13 @@ def split(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec_id"], "starts": starts, "ends": ends})
 
     flat = rows.mapInPandas(run, "tbl string, rec_id string, starts array<int>, ends array<int>")
-    return flat.select("tbl", "rec_id", F.explode(F.arrays_zip("starts", "ends")).alias("z")).select("tbl", "rec_id", F.col("z.starts").alias("start_at"), F.col("z.ends").alias("end_at")).distinct()
+    return flat.select("tbl", "rec_id", F.explode(F.arrays_zip("starts", "ends")).alias("z")).select("tbl", "rec_id", F.col("z.starts").alias("start_at"), F.col("z.ends").alias("end_at"))
 
 
 def corpus(posts: DataFrame, captures: DataFrame) -> DataFrame:
     """(tbl, rec_id, text) of all posts and captured sources."""
     a = posts.select(F.lit("posts").alias("tbl"), F.col("id").cast("string").alias("rec_id"), F.col("content").alias("text"))
     b = captures.select(F.lit("ginza_discourse_modesty").alias("tbl"), F.col("case_id").cast("string").alias("rec_id"), F.col("source").alias("text"))
-    return a.unionAll(b).filter("text is not null and text <> ''").distinct()
+    return a.unionAll(b).filter("text is not null and text <> ''")
 
 

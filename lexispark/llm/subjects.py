@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import sentences as S
+from lexispark.llm.charlm import pack, unpack
 from lexispark.session import materialize
 
 BITS = (17, 19, 19)
@@ -99,7 +100,7 @@ class Models:
     """Row 0 of the counts is the background, the others are the subjects."""
 
     def __init__(self, counts: np.ndarray):
-        c = counts.astype(np.float32)
+        c = counts.astype(np.float32, copy=False)
         self.c1, self.c2, self.c3 = c[:, : AT[1]], c[:, AT[1] : AT[2]], c[:, AT[2] :]
         self.n = self.c1.sum(axis=1)
 
@@ -169,8 +170,8 @@ def _emit(tables: np.ndarray) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"model": [k], "slots": [s.astype(np.int32)], "counts": [row[s].astype(np.int64)]})
 
 
-def _each(batches: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[tuple[pd.DataFrame, Tokens]]:
-    model = S.Model(table)
+def _each(batches: Iterator[pd.DataFrame], table: tuple) -> Iterator[tuple[pd.DataFrame, Tokens]]:
+    model = S.Model(unpack(table))
     for b in batches:
         texts = b["text"].tolist()
         for i, j in S._chunks(texts):
@@ -199,7 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     want = materialize(label_sets(labels, names), "wants")
     if not names or want.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, subject string, second double")
-    cut = spark.sparkContext.broadcast(S.train(text))
+    cut = spark.sparkContext.broadcast(pack(S.train(text)))
     k = len(names) + 1
 
     def background(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,15 +222,16 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     apart = [np.concatenate((ground, halves[h * k + 1 : (h + 1) * k])) for h in (0, 1)]
     first = np.concatenate((ground, halves[1:k] + halves[k + 1 :]))
     # labelled documents are judged by the models of the other half
-    other = [spark.sparkContext.broadcast(a) for a in reversed(apart)]
+    other = [spark.sparkContext.broadcast(pack(a)) for a in reversed(apart)]
     judged = [known.filter(F.col("half") == h).mapInPandas(_scorer(other[h], cut), SCORED) for h in (0, 1)]
     bar = _threshold(judged[0].unionAll(judged[1]), want)
-    models = spark.sparkContext.broadcast(first)
+    models = spark.sparkContext.broadcast(pack(first))
     for _ in range(ROUNDS):
         rows = text.mapInPandas(_refitter(models, cut, STRICT * bar, k), COUNTS)
         counts = _sum_rows(rows, k)
         counts[0] = ground[0]
-        models = spark.sparkContext.broadcast(counts)
+        models.unpersist()
+        models = spark.sparkContext.broadcast(pack(counts))
         bar = _threshold(known.mapInPandas(_scorer(models, cut), SCORED), want)
     flat = text.mapInPandas(_scorer(models, cut), SCORED).select("doc_id", F.posexplode("z").alias("s", "second")).filter(F.col("second") >= bar)
     code = F.array(*[F.lit(n) for n in names])
@@ -250,7 +252,7 @@ def _add(out: np.ndarray, t: Tokens, sets: list) -> None:
 
 def _scorer(models, cut):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Models(models.value)
+        m = Models(unpack(models.value))
         for b, t in _each(batches, cut.value):
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "z": list(m.second(t, len(b)))})
 
@@ -259,7 +261,7 @@ def _scorer(models, cut):
 
 def _refitter(models, cut, bar: float, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, out = Models(models.value), np.zeros((k, SLOTS), dtype=np.int32)
+        m, out = Models(unpack(models.value)), np.zeros((k, SLOTS), dtype=np.int32)
         for b, t in _each(batches, cut.value):
             sure = m.second(t, len(b)) >= bar
             _add(out, t, [[int(x.argmax()) + 1] if x.sum() == 1 else [] for x in sure])
