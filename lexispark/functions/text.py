@@ -71,7 +71,8 @@ def quote_coverage(c: Column) -> Column:
 
 def script_mask(c: Column) -> Column:
     """Each character by its class: h hiragana, k katakana, q Han, D digit, A letter; others stay."""
-    for pattern, to in ((r"\p{IsHiragana}", "h"), (r"\p{IsKatakana}|ー", "k"), (r"\p{IsHan}", "q"), (r"\p{Nd}", "D"), (r"[A-Zb-gijl-pr-zÀ-ɏЀ-ӿ가-힣]", "A")):
+    letters = r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]"  # first, so that no class letter is taken for text
+    for pattern, to in ((letters, "A"), (r"\p{IsHiragana}", "h"), (r"\p{IsKatakana}|ー", "k"), (r"\p{IsHan}", "q"), (r"\p{Nd}", "D")):
         c = F.regexp_replace(c, pattern, to)
     return c
 

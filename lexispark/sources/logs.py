@@ -9,15 +9,26 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+def decode_bytes(c: Column, charset: str) -> Column:
+    """Bytes in a declared charset; bytes that don't fit become U+FFFD. Spark's own decode knows few charsets."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+
+    return run(c)
 
 
 def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
     """(path, line, text): lines of text files from 1, without byte order mark and carriage returns; a last empty line counts.
 
-    Plain and gzip files, of any charset of the JVM.
+    Plain and gzip files, of any charset that Python knows.
     """
-    raw = spark.read.option("wholetext", True).option("encoding", "ISO-8859-1").text(path).select(F.input_file_name().alias("path"), F.col("value"))
-    text = F.decode(F.encode("value", "ISO-8859-1"), charset)
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("value"))
+    text = F.col("value").cast("string") if charset.upper() in ("UTF-8", "UTF8") else decode_bytes(F.col("value"), charset)
     clean = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     return raw.select("path", F.posexplode(F.split(clean, "\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
 
@@ -34,7 +45,7 @@ def html_text(c: Column) -> Column:
         c = F.regexp_replace(c, pattern, to)
     for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 TAG = regex.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", regex.S)
