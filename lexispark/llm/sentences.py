@@ -8,6 +8,7 @@ chosen so that openings, closings, lengths and balanced quotations together scor
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -161,8 +162,8 @@ class Model:
         self.lines, self.inner = max(float(self.t[0].sum()) / DEPTH, 1.0), max(float(self.t[1].sum()) / DEPTH, 1.0)
         self.base = self.lines / (self.lines + self.inner)
         n, s, q = (float(x) for x in table[LENGTHS:])
-        self.mean = s / 1000 / n if n else 3.3
-        self.std = max(np.sqrt(max(q / 1000 / n - self.mean**2, 0.0)) if n else 0.8, 0.5)
+        self.mean = float(s / 1000 / n) if n else 3.3
+        self.std = float(max(np.sqrt(max(q / 1000 / n - self.mean**2, 0.0)) if n else 0.8, 0.5))
         self.rho = [None, None]
 
     def share(self, kind: int, hashes: Iterator[np.ndarray], own: int) -> np.ndarray:
@@ -199,8 +200,8 @@ class Model:
         return out - np.log(prior / (1 - prior))
 
     def length(self, n: float) -> float:
-        z = (np.log(max(n, 1.0)) - self.mean) / self.std
-        return -0.5 * float(z * z)
+        z = (math.log(max(n, 1.0)) - self.mean) / self.std
+        return -0.5 * z * z
 
 
 def segment(texts: list[str], model: Model) -> list[list[int]]:
