@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +61,11 @@ def _scored(votes: DataFrame, params: DataFrame, prior: list[float]) -> DataFram
     own = F.element_at(F.array(*[f"h{i}" for i in k]), F.col("k") + 1)
     strength = F.log(((1 - F.col("e")) + F.col("e") * own) / (F.col("e") * own))
     item = Window.partitionBy(*KEY)
-    df = votes.join(params, "annotatorid").withColumn("l", strength)
-    for i in k:
-        df = df.withColumn(f"s{i}", F.sum(F.when(F.col("k") == i, F.col("l")).otherwise(0.0)).over(item) + F.lit(prior[i]))
+    sums = {f"s{i}": F.sum(F.when(F.col("k") == i, F.col("l")).otherwise(0.0)).over(item) + F.lit(prior[i]) for i in k}
+    df = votes.join(params, "annotatorid").withColumn("l", strength).withColumns(sums | {"nv": F.count(F.lit(1)).over(item)})
     df = df.withColumn("top", F.greatest(*[f"s{i}" for i in k]))
     z = _sum([F.exp(F.col(f"s{i}") - F.col("top")) for i in k])
-    return df.withColumns({f"p{i}": F.exp(F.col(f"s{i}") - F.col("top")) / z for i in k} | {"nv": F.count(F.lit(1)).over(item)})
+    return df.withColumns({f"p{i}": F.exp(F.col(f"s{i}") - F.col("top")) / z for i in k})
 
 
 def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float = 0.005, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -78,11 +78,9 @@ def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float
     """
     spark, k = prefs.sparkSession, range(len(CHOICES))
     code = F.create_map(*[x for i, c in enumerate(CHOICES) for x in (F.lit(c), F.lit(i))])
-    votes = (
-        answers(prefs).filter(F.col("choice") != ABSTAIN).select(*KEY, "annotatorid", code[F.col("choice")].alias("k"))
-        # one exchange by item, kept through all rounds
-        .repartition(partitions(spark), *KEY).checkpoint()
-    )
+    votes = materialize(answers(prefs).filter(F.col("choice") != ABSTAIN).select(*KEY, "annotatorid", code[F.col("choice")].alias("k")), "votes")
+    # one exchange by item for all rounds: a persisted table keeps its partitioning, and a lost part is read again from the file
+    votes = votes.repartition(partitions(spark), *KEY).persist(StorageLevel.MEMORY_AND_DISK)
     params = votes.select("annotatorid").distinct().select(
         "annotatorid", F.lit(0.4).alias("e"), *[F.lit(1.0 / len(CHOICES)).alias(f"h{i}") for i in k], F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("n")
     )
