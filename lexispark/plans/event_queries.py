@@ -207,8 +207,10 @@ _NB = "nb AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS hit, r
 def dense_neighbours(s, d) -> DataFrame:
     """Queries are a stated fiftieth of the rows, met by all rows in blocks: each task compares its rows with a block of queries."""
     e = table(s, d, "embeddings")
-    blocks = e.filter(F.col("vec_id") % 50 == 0).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))).alias("qs"))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    asks = e.filter(F.col("vec_id") % 50 == 0)
+    n = max(1, -(-asks.count() // 500))  # so that a block holds about 500 queries at any size
+    blocks = asks.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))).alias("qs"))
+    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     j = rows.join(blocks, "block").select("vec_id", "embedding", "label", F.explode("qs").alias("q")).filter("vec_id <> q.query_id")
     return j.select("q.query_id", "vec_id", (F.col("label") == F.col("q.ql")).alias("hit"), F.round(V.dense_cosine(F.col("embedding"), F.col("q.qe")), 6).alias("sim"))
 
