@@ -84,7 +84,15 @@ class Tokens:
         self.ctx1 = _slot(prev, 0)
         self.two = _slot((prev * _K2) ^ tok, 1)
         self.ctx2 = _slot((before * _K2) ^ prev, 1)
-        self.three = _slot(((before * _K1) ^ prev) * _K2 ^ tok, 2)
+        self.whole = ((before * _K1) ^ prev) * _K2 ^ tok  # names the token with its context
+        self.three = _slot(self.whole, 2)
+
+    def at(self, i: np.ndarray) -> "Tokens":
+        """The tokens at some places, for their slots only."""
+        t = object.__new__(Tokens)
+        for name in ("one", "two", "three", "ctx1", "ctx2"):
+            setattr(t, name, getattr(self, name)[i])
+        return t
 
     def slots(self, keep: np.ndarray | None = None) -> np.ndarray:
         parts = [x if keep is None else x[keep] for x in (self.one, self.two, self.three)]
@@ -124,6 +132,9 @@ class Models:
         out = np.zeros((total, len(self.n) - 1), dtype=np.float32)
         if not len(t.one):
             return out
+        # a token in its context is judged once, however often it occurs
+        _, first, again = np.unique(t.whole, return_index=True, return_inverse=True)
+        sentence, t = t.sentence, t.at(first)
         ground = self._ground(t)
         base = sum(w * p for w, p in zip(MIX, ground))
         for k in range(1, len(self.n)):
@@ -133,7 +144,7 @@ class Models:
             seen = np.where(two > 0, np.maximum(self.c3[k][t.three], two * ground[2]),
                             np.where(one > 0, np.maximum(self.c2[k][t.two], one * ground[1]), np.maximum(self.c1[k][t.one], self.n[k] * ground[0])))
             r = np.sign(r) * np.maximum(np.abs(r) - ERRORS / np.sqrt(seen + 0.5), 0)
-            out[:, k - 1] = np.bincount(t.sentence, weights=r, minlength=total)
+            out[:, k - 1] = np.bincount(sentence, weights=r[again], minlength=total)
         return out
 
     def second(self, t: Tokens, docs: int) -> np.ndarray:
