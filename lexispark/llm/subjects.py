@@ -112,11 +112,14 @@ class Models:
         self.c1, self.c2, self.c3 = c[:, : AT[1]], c[:, AT[1] : AT[2]], c[:, AT[2] :]
         self.n = self.c1.sum(axis=1)
 
-    def _ground(self, t: Tokens) -> list[np.ndarray]:
-        """Background probabilities of each token by models of 1, 2 and 3 tokens; each stands in for the next."""
-        one = (self.c1[0][t.one] + 1.0) / (self.n[0] + (1 << BITS[0]))
-        two = (self.c2[0][t.two] + 2.0 * one) / (self.c1[0][t.ctx1] + 2.0)
-        return [one, two, (self.c3[0][t.three] + 2.0 * two) / (self.c2[0][t.ctx2] + 2.0)]
+    def _ground(self, t: Tokens, k: int) -> list[np.ndarray]:
+        """Probabilities of each token by background models of 1, 2 and 3 tokens; each stands in for the next. The background
+        of a subject is the corpus without what the subject's own model was fitted on, so a common subject stands out too.
+        """
+        rest = lambda c, i: np.maximum(c[0][i] - c[k][i], 0.0)
+        one = (rest(self.c1, t.one) + 1.0) / (max(self.n[0] - self.n[k], 0.0) + (1 << BITS[0]))
+        two = (rest(self.c2, t.two) + 2.0 * one) / (rest(self.c1, t.ctx1) + 2.0)
+        return [one, two, (rest(self.c3, t.three) + 2.0 * two) / (rest(self.c2, t.ctx2) + 2.0)]
 
     def _mixed(self, k: int, t: Tokens, ground: list[np.ndarray]) -> np.ndarray:
         """Interpolated probability under subject k; what the subject has not seen it takes from the background."""
@@ -135,9 +138,9 @@ class Models:
         # a token in its context is judged once, however often it occurs
         _, first, again = np.unique(t.whole, return_index=True, return_inverse=True)
         sentence, t = t.sentence, t.at(first)
-        ground = self._ground(t)
-        base = sum(w * p for w, p in zip(MIX, ground))
         for k in range(1, len(self.n)):
+            ground = self._ground(t, k)
+            base = sum(w * p for w, p in zip(MIX, ground))
             r = np.log(self._mixed(k, t, ground) / base)
             two, one = self.c2[k][t.ctx2], self.c1[k][t.ctx1]
             # occurrences, found or expected, in the longest context that the subject has seen
