@@ -94,3 +94,50 @@ def request_errors(doc: Column, max_chars: int = 5000) -> Column:
 def bigram_bucket(a: Column, b: Column, buckets: int = 32) -> Column:
     """(31 * first code point + second) modulo buckets."""
     return F.pmod(F.ascii(a) * 31 + F.ascii(b), F.lit(buckets)).cast("int")
+
+
+def anchor_placement(c: Column) -> Column:
+    """Where a text's reply anchors stand: standalone, prefix, suffix, inline or none; null for null."""
+    return (
+        F.when(c.isNull(), F.lit(None).cast("string")).when(c.rlike(r"^\s*>>[0-9]+\s*$"), "standalone").when(c.rlike(r"^\s*>>[0-9]+"), "prefix")
+        .when(c.rlike(r">>[0-9]+\s*$"), "suffix").when(c.rlike(r">>[0-9]+"), "inline").otherwise("none")
+    )
+
+
+# What an anchored reply does, in order of precedence.
+ANCHOR_USE = [("gratitude", "ありがと|thanks|merci|danke"), ("question", "[？?]"), ("evidence", "https?://"), ("evaluation", "正直|honest|wichtig"), ("agreement", "その件|agree|同意"), ("vocative", "さん|君|Mr")]
+
+
+def anchor_use(c: Column) -> Column:
+    """What the text does to the post that it answers; unknown if no pattern tells, null without an anchor."""
+    return F.when(c.rlike(">>[0-9]+"), first_label(F.regexp_replace(c, ">>[0-9]+", " "), ANCHOR_USE, "unknown"))
+
+
+OPENING, CLOSING = "[「『（(【《〈\\[{«“]", "[」』）)】》〉\\]}»”]"
+
+
+def inside_brackets(c: Column, offset: Column) -> Column:
+    """Whether more brackets open than close before a code-point offset."""
+    head = F.substring(c, F.lit(1), offset)
+    return F.regexp_count(head, F.lit(OPENING)) > F.regexp_count(head, F.lit(CLOSING))
+
+
+def fuzzy_ratio(a: Column, b: Column) -> Column:
+    """1 minus the edit distance over the longer length; 1 for two empty texts, null for null."""
+    return F.when(a.isNotNull() & b.isNotNull(), 1 - F.coalesce(F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(0.0)))
+
+
+# Words and the concept each stands for.
+CONCEPTS = [("倉庫", "storage"), ("storage", "storage"), ("archive", "storage"), ("仓库", "storage"), ("廊下", "corridor"), ("corridor", "corridor"), ("flur", "corridor"), ("走廊", "corridor"), ("鍵", "key"), ("key", "key"), ("schlüssel", "key"), ("钥匙", "key")]
+
+
+def concepts(c: Column, table: list[tuple[str, str]] = CONCEPTS) -> Column:
+    """The distinct concepts whose words a text holds, sorted; the table is small and folded into the expression."""
+    low = F.lower(c)
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(k)) for w, k in table]))))
+
+
+def expand_query(c: Column, table: list[tuple[str, str]] = CONCEPTS) -> Column:
+    """All words of the concepts that a text holds, sorted."""
+    found = concepts(c, table)
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.array_contains(found, k), F.lit(w)) for w, k in table]))))

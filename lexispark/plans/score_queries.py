@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions import features as X
 from lexispark.functions import text as T
 from lexispark.operators import captures as C
 from lexispark.operators import scoring as K
@@ -162,13 +163,32 @@ def bootstrap_values(s, d):
     return K.bootstrap_mean(table(s, d, "events"), "value", "event_id")
 
 
-# Diversity text, kana, mora distance
-@query("SELECT case_id, lemma, levenshtein(lemma, text)::INTEGER AS distance FROM (WITH " + _CAP + " SELECT DISTINCT case_id, lemma, text FROM tk) WHERE lemma <> text")
-def lemma_distances(s, d):
-    t = C.tokens(C.cases(table(s, d, "ginza_discourse_modesty"))).filter("lemma <> text").select("case_id", "lemma", "text").distinct()
-    return t.select("case_id", "lemma", F.levenshtein("lemma", "text").alias("distance"))
+# Anchors, brackets, concepts, distances
+_USE = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(content, '>>[0-9]+', ' ', 'g'), '{p}') THEN '{k}'" for k, p in X.ANCHOR_USE) + " ELSE 'unknown' END"
 
 
+@query(r"SELECT CASE WHEN content IS NULL THEN NULL WHEN regexp_matches(content, '^\s*>>[0-9]+\s*$') THEN 'standalone' WHEN regexp_matches(content, '^\s*>>[0-9]+') THEN 'prefix' WHEN regexp_matches(content, '>>[0-9]+\s*$') THEN 'suffix' WHEN regexp_matches(content, '>>[0-9]+') THEN 'inline' ELSE 'none' END AS placement, CASE WHEN regexp_matches(content, '>>[0-9]+') THEN " + _USE + " END AS use, count(*)::BIGINT AS n FROM posts GROUP BY 1, 2")
+def anchor_usage(s, d):
+    return table(s, d, "posts").groupBy(X.anchor_placement(F.col("content")).alias("placement"), X.anchor_use(F.col("content")).alias("use")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH x AS (SELECT doc_id, substr(text, 1, (length(text) / 2)::INTEGER) AS h FROM documents WHERE text IS NOT NULL AND length(text) % 2 = 0) SELECT doc_id, len(regexp_extract_all(h, '[「『（(【《〈\\[{«“]')) > len(regexp_extract_all(h, '[」』）)】》〉\\]}»”]')) AS inside FROM x")
+def inside_enclosures(s, d):
+    t = docs(s, d).filter(F.length("text") % 2 == 0)
+    return t.select("doc_id", X.inside_brackets(F.col("text"), (F.length("text") / 2).cast("int")).alias("inside"))
+
+
+@query("WITH c(w, k) AS (VALUES " + ", ".join(f"('{w}', '{k}')" for w, k in X.CONCEPTS) + "), h AS (SELECT DISTINCT doc_id, k FROM documents JOIN c ON contains(lower(text), w)) SELECT k AS concept, count(*)::BIGINT AS documents FROM h GROUP BY 1")
+def concept_counts(s, d):
+    return docs(s, d).select("doc_id", F.explode(X.concepts(F.col("text"))).alias("concept")).groupBy("concept").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT p_partkey, levenshtein(p_type, p_name)::INTEGER AS distance, round(1 - levenshtein(p_type, p_name) / greatest(length(p_type), length(p_name)), 6)::DOUBLE AS ratio FROM part")
+def name_distances(s, d):
+    return table(s, d, "part").select("p_partkey", F.levenshtein("p_type", "p_name").alias("distance"), F.round(X.fuzzy_ratio(F.col("p_type"), F.col("p_name")), 6).alias("ratio"))
+
+
+# Diversity text, kana
 @query()
 def kana_forms(s, d):
     return docs(s, d).select("doc_id", F.sha2(K.fold_kana(F.col("text")), 256).alias("folded"), F.sha2(K.diversity_text(F.col("text")), 256).alias("diversity"))
