@@ -161,11 +161,13 @@ def compare_facts(a: DataFrame, b: DataFrame, key: list[str], fields: list[str])
 def line_ledger(sections: DataFrame) -> DataFrame:
     """(line, category, post, gap): every line once, with the last known post and the distance to the line before that has text.
 
-    The fill runs over the whole log in line order without gathering it: lines are cut into blocks of a thousand, the last
-    known values of each block are carried over the blocks (one row each), and windows run inside blocks.
+    The fill runs over the whole log in line order without gathering it: lines are cut into at most 10,000 blocks,
+    the last known values of each block are carried over the blocks (one row each), and windows run inside blocks.
     """
     one = sections.groupBy("line").agg(F.min_by(F.struct("category", "post_id", "text"), F.struct(*[x for c in ("category", "post_id", "text") for x in (F.col(c).isNull(), F.col(c))])).alias("r")).select("line", "r.*")
-    x = one.withColumn("block", F.floor(F.col("line") / 1000)).withColumn("solid", F.when(F.regexp_replace("text", r"[\s　]", "") != "", F.col("line")))
+    lo, hi = sections.agg(F.min("line"), F.max("line")).first()
+    width = max(1000, -(-((hi or 0) - (lo or 0) + 1) // 10_000))
+    x = one.withColumn("block", F.floor((F.col("line") - F.lit(lo or 0)) / width)).withColumn("solid", F.when(F.regexp_replace("text", r"[\s　]", "") != "", F.col("line")))
     per = x.groupBy("block").agg(F.max_by("post_id", F.when(F.col("post_id").isNotNull(), F.col("line"))).alias("lp"), F.max("solid").alias("ls"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select("block", F.last("lp", ignorenulls=True).over(before).alias("cp"), F.last("ls", ignorenulls=True).over(before).alias("cs"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
+from lexispark.operators.skew import running
+from lexispark.session import materialize
 
 
 def status_fold(checks: DataFrame, key: str) -> DataFrame:
@@ -27,19 +29,18 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     Scores are pre-aggregated, and the running sum goes over distinct scores only. Null if one side is empty.
     """
     by = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(positive).cast("bigint")).alias("p"), F.sum((~F.col(positive)).cast("bigint")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    below = running(materialize(by, "scores"), [], [F.col(score)], "q", "below", before=True)
+    won = below.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2))
     return won.agg(F.try_divide(F.sum("w"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 
 
 def skyline(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in both x and y (higher is better, equal rows stay). Nulls never qualify.
 
-    Local skylines first: the largest y per x, then one running maximum over distinct x.
+    Local skylines first: the largest y per x, then a running maximum over distinct x in range-sorted parts.
     """
     per = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("__y"))
-    above = F.max("__y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    front = per.withColumn("__above", above).filter(F.col("__above").isNull() | (F.col("__y") > F.col("__above"))).select(x, F.col("__y").alias(y))
+    front = running(materialize(per, "steps"), [], [F.desc(x)], "__y", "__above", "max", before=True).filter(F.col("__above").isNull() | (F.col("__y") > F.col("__above"))).select(x, F.col("__y").alias(y))
     return df.join(front, [x, y], "left_semi")
 
 
@@ -81,8 +82,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (rho): correlation of mean ranks. Ranks are made from counts of distinct values, not by sorting all rows in one task."""
     def ranked(c: str) -> DataFrame:
         n = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("__n") + 1) / 2).alias(f"r_{c}"))
+        n = running(materialize(n, "values"), [], [F.col(c)], "__n", "__before", before=True)
+        return n.select(c, (F.col("__before") + (F.col("__n") + 1) / 2).alias(f"r_{c}"))
 
     return df.join(ranked(x), x).join(ranked(y), y).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 
 from lexispark.operators.evaluate import literal_set, retention
+from lexispark.operators.skew import running
+from lexispark.session import materialize
 
 # Frames with the lexemes they need, all of which a text must hold to support the frame.
 FRAMES = [("wait", "待"), ("wait", "分"), ("count", "本"), ("count", "鍵"), ("move", "moved"), ("move", "boxes"), ("none", "☃☃")]
@@ -105,9 +107,8 @@ def fronts(df: DataFrame, x: str, y: str, levels: int = 3) -> DataFrame:
     rest = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     out = None
     for n in range(1, levels + 1):
-        per = rest.groupBy(x).agg(F.max(y).alias("__y"))
-        above = F.max("__y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-        edge = per.withColumn("__a", above).filter(F.col("__a").isNull() | (F.col("__y") > F.col("__a"))).select(x, F.col("__y").alias(y))
+        per = materialize(rest.groupBy(x).agg(F.max(y).alias("__y")), "steps")
+        edge = running(per, [], [F.desc(x)], "__y", "__a", "max", before=True).filter(F.col("__a").isNull() | (F.col("__y") > F.col("__a"))).select(x, F.col("__y").alias(y))
         part = rest.join(edge, [x, y], "left_semi").withColumn("front", F.lit(n))
         out = part if out is None else out.unionByName(part)
         rest = rest.join(edge, [x, y], "left_anti")

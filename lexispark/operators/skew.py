@@ -39,31 +39,32 @@ def lookup_join(left: DataFrame, lookup: DataFrame, key: str, weight: str, share
     return left.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def running_sum(df: DataFrame, group: list[str], order: list, value: str, out: str, rows_per_task: int = 50_000) -> DataFrame:
-    """Running sum of ``value`` within ``group`` in ``order``, without a task that holds a whole group.
+def running(df: DataFrame, group: list[str], order: list, value: str, out: str, fold: str = "sum", before: bool = False, rows_per_task: int = 50_000) -> DataFrame:
+    """Running sum or max of ``value`` within ``group`` in ``order``, without a task that holds a whole group.
 
-    Rows are range-sorted over the whole table, cut at partition borders, summed per (partition, group), and each
-    partition adds what its group has in earlier partitions. The table of partition sums has one row per partition and
-    group. Null values count as 0; rows with equal order columns follow each other in no defined order.
+    Rows are range-sorted over the whole table, cut at partition borders, folded per (partition, group), and each partition
+    adds what its group has in earlier partitions. The table of partition folds has one row per partition and group. With
+    ``before`` the row itself is left out; the first row of a group then has 0 (sum) or null (max). Null values count as 0
+    in sums; rows with equal order columns follow each other in no defined order.
     """
     n = df.count()
     parts = max(1, -(-n // rows_per_task))
-    sorted_ = df.repartitionByRange(parts, *[F.col(g) for g in group], *order).sortWithinPartitions(
-        *[F.col(g) for g in group], *order
-    )
-    cut = materialize(
-        sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "prefix"
-    )
-    v = F.coalesce(F.col(value), F.lit(0))
-    sums = cut.groupBy(*group, "__part").agg(F.sum(v).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__off", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    within = Window.partitionBy("__part", *group).orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
-    g = offsets.columns[:-2]
-    pair = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*g, "__part"]]
-    cond = pair[0]
-    for p in pair[1:]:
-        cond = cond & p
-    joined = cut.withColumn("__run", F.sum(v).over(within)).alias("a").join(offsets.alias("b"), cond, "left")
-    keep = [F.col(f"a.{c}") for c in df.columns]
-    return joined.select(*keep, (F.col("a.__run") + F.col("b.__off")).alias(out))
+    keys = [*[F.col(g) for g in group], *order]
+    sorted_ = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    cut = materialize(sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "prefix")
+    f, v = (F.sum, F.coalesce(F.col(value), F.lit(0))) if fold == "sum" else (F.max, F.col(value))
+    folds = cut.groupBy(*group, "__part").agg(f(v).alias("__fold"))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = folds.withColumn("__off", f("__fold").over(earlier)).drop("__fold")
+    within = Window.partitionBy("__part", *group).orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    on = F.lit(True)
+    for c in [*group, "__part"]:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = cut.withColumn("__run", f(v).over(within)).alias("a").join(offsets.alias("b"), on, "left")
+    run, off = F.col("a.__run"), F.col("b.__off")
+    result = F.coalesce(run, F.lit(0)) + F.coalesce(off, F.lit(0)) if fold == "sum" else F.greatest(run, off)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], result.alias(out))
+
+
+def running_sum(df: DataFrame, group: list[str], order: list, value: str, out: str, rows_per_task: int = 50_000) -> DataFrame:
+    return running(df, group, order, value, out, rows_per_task=rows_per_task)
