@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="lexispark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)  # our own folder of a local session
     spark.conf.set("spark.checkpoint.dir", f"file://{path}")
     return f"file://{path}"
 
