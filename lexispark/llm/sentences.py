@@ -37,9 +37,11 @@ _CLOSE = "」』】)\\]}”’\"'»›》〉"
 _LAUGH = r"w{2,}(?![a-z])|orz|otl(?![a-z])|[☆★♪♡♥]+|\([笑爆泣汗]\)"
 _FACE = r"[σς]?\([^()\n]{0,4}[´`∀゚дω∇^;_・>≧≦][^()\n]{0,6}\)[ノシ]*"
 _CJK = "฀-๿぀-ヿ㐀-鿿"
+# the look-ahead rejects most characters before the alternatives are tried
+_FIRST = f"(?=[ {_TERM}wo☆★♪♡♥σς(・※■◆●▼•])"
 CANDIDATE = re.compile(
-    f"(?:(?:[{_TERM}]+|{_LAUGH}|{_FACE})(?:[{_TERM}{_CLOSE}]|{_LAUGH}|{_FACE})*) *(?=[^ \n])"
-    f"|(?<=[^ \na-z0]) {{2,}}(?=[^ \n])|(?<=[{_CJK}]) (?=[^ \n])|(?<=[^ \n]) (?=[{_CJK}])|(?<=[^ \n])(?=[・※■◆●▼•])"
+    f"{_FIRST}(?:(?:(?:[{_TERM}]+|{_LAUGH}|{_FACE})(?:[{_TERM}{_CLOSE}]|{_LAUGH}|{_FACE})*) *(?=[^ \n])"
+    f"|(?<=[^ \na-z0]) {{2,}}(?=[^ \n])|(?<=[{_CJK}]) (?=[^ \n])|(?<=[^ \n]) (?=[{_CJK}])|(?<=[^ \n])(?=[・※■◆●▼•]))"
 )
 ANCHOR = re.compile(r">>0+(?:-0+)? *$")
 _LATIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789=/&_-@%+#")
