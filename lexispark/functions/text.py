@@ -108,8 +108,9 @@ def hash_bucket(c: Column, buckets: int = 10) -> Column:
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    """All n-grams of code points in order; a shorter text gives none."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of code points in order; a shorter text and null give none. One pass, linear in the length of the text."""
+    grams = F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
+    return F.coalesce(grams, F.array().cast("array<string>"))
 
 
 def gram_set(c: Column, n: int = 3) -> Column:
