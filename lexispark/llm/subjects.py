@@ -233,19 +233,20 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     known = materialize(text.join(want, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "known")
     ground = _sum_rows(text.mapInPandas(background, COUNTS), 1)
     halves = _sum_rows(known.mapInPandas(labelled, COUNTS), 2 * k)
-    apart = [np.concatenate((ground, halves[h * k + 1 : (h + 1) * k])) for h in (0, 1)]
-    first = np.concatenate((ground, halves[1:k] + halves[k + 1 :]))
-    # labelled documents are judged by the models of the other half
-    other = [spark.sparkContext.broadcast(pack(a)) for a in reversed(apart)]
+    # labelled documents are judged by the models of the other half; the driver keeps packed copies only
+    other = [spark.sparkContext.broadcast(pack(np.concatenate((ground, halves[h * k + 1 : (h + 1) * k])))) for h in (1, 0)]
+    halves[1:k] += halves[k + 1 :]
+    models = spark.sparkContext.broadcast(pack(np.concatenate((ground, halves[1:k]))))
+    del halves
     judged = [known.filter(F.col("half") == h).mapInPandas(_scorer(other[h], cut), SCORED) for h in (0, 1)]
     bar = _threshold(judged[0].unionAll(judged[1]), want)
-    models = spark.sparkContext.broadcast(pack(first))
     for _ in range(ROUNDS):
         rows = text.mapInPandas(_refitter(models, cut, STRICT * bar, k), COUNTS)
         counts = _sum_rows(rows, k)
         counts[0] = ground[0]
         models.unpersist()
         models = spark.sparkContext.broadcast(pack(counts))
+        del counts
         bar = _threshold(known.mapInPandas(_scorer(models, cut), SCORED), want)
     flat = text.mapInPandas(_scorer(models, cut), SCORED).select("doc_id", F.posexplode("z").alias("s", "second")).filter(F.col("second") >= bar)
     code = F.array(*[F.lit(n) for n in names])
