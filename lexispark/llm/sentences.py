@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ BITS = 20
 TABLES = 4  # closings at line ends, at other places; openings at line starts, at other places
 LENGTHS = TABLES << BITS  # then: number, sum and sum of squares of log-lengths (times 1000) of lines of one sentence
 SLOTS = LENGTHS + 3
+BINS = 1 << 16  # of the histograms of shares, from which rho is read
 BACKOFF = 2.0
 ENOUGH = 4  # a context is heeded from so many other occurrences on
 SURE = 9.0  # log-odds beyond which length cannot change the decision
@@ -79,7 +81,8 @@ _DEEP = {c: 1 for c in "「『（(【《〈[{«‹“„"} | {c: -1 for c in "
 class Lines:
     """Many texts as one array of folded characters, with their lines and the places where a sentence may start."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], inner: bool = True):
+        """Without ``inner``, only the lines' own ends and starts are found."""
         whole = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         folded = fold()[whole]
         self.pos = np.flatnonzero(folded)
@@ -102,7 +105,7 @@ class Lines:
         self.first = nxt[begin]
         self.real = self.first < nl
         self.last = prev[nl]  # last solid character of the line, if the line is real
-        at = [m.end() for m in CANDIDATE.finditer(s) if self._may(s, m)]
+        at = [m.end() for m in CANDIDATE.finditer(s) if self._may(s, m)] if inner else []
         self.cand = np.array(at, dtype=np.int64)
         line = np.searchsorted(nl, self.cand)
         keep = (self.cand < nl[np.minimum(line, len(nl) - 1)]) & (self.cand > self.first[np.minimum(line, len(nl) - 1)]) if len(at) else np.zeros(0, bool)
@@ -157,7 +160,8 @@ class Lines:
 
 
 class Model:
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: np.ndarray, rho: tuple[float, float] | None = None):
+        """rho: the shares that true boundaries, of ends and of starts, have (see _rho)."""
         t = table.astype(np.float32, copy=False)
         self.t = [t[k << BITS : (k + 1) << BITS] for k in range(TABLES)]
         # every line gives DEPTH slots
@@ -166,7 +170,7 @@ class Model:
         n, s, q = (float(x) for x in table[LENGTHS:])
         self.mean = float(s / 1000 / n) if n else 3.3
         self.std = float(max(np.sqrt(max(q / 1000 / n - self.mean**2, 0.0)) if n else 0.8, 0.5))
-        self.rho = [None, None]
+        self.rho = rho or (self.base, self.base)
 
     def share(self, kind: int, hashes: Iterator[np.ndarray], own: int) -> np.ndarray:
         """The share of line ends (kind 0) or starts (kind 1) among other places with the same characters, backed off from
@@ -180,14 +184,14 @@ class Model:
             p = np.where(n >= ENOUGH, (e + BACKOFF * p) / (n + BACKOFF), p)
         return p
 
-    def calibrate(self, lines: Lines) -> None:
-        """rho: the share that true boundaries have, read off the lines' own ends and starts."""
-        if lines.real.any():
-            ends = self.share(0, lines.closings(lines.last[lines.real] + 1), 0)
-            starts = self.share(1, lines.openings(lines.first[lines.real]), 0)
-            self.rho = [float(np.median(ends)), float(np.median(starts))]
-        else:
-            self.rho = [self.base, self.base]
+    def edges(self, lines: Lines, into: np.ndarray) -> None:
+        """Count the shares of the lines' own ends and starts into two histograms of BINS."""
+        real = lines.real
+        if real.any():
+            sets = (lines.closings(lines.last[real] + 1), lines.openings(lines.first[real]))
+            for kind, hashes in enumerate(sets):
+                at = np.minimum(self.share(kind, hashes, 0) * BINS, BINS - 1).astype(np.int64)
+                into[kind] += np.bincount(at, minlength=BINS)
 
     def log_odds(self, lines: Lines) -> np.ndarray:
         """Of each candidate: that a sentence ends before it and one starts at it."""
@@ -298,13 +302,52 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(texts: DataFrame) -> np.ndarray:
     """The table of counts over all rows of (text), of a fixed number of slots."""
     rows = texts.select("text").mapInPandas(_count, "slots array<int>, counts array<bigint>")
+    return _sums(rows, SLOTS)
+
+
+def _sums(rows: DataFrame, size: int) -> np.ndarray:
+    """Counts of (slots, counts) summed up; at most size rows reach the driver."""
     sums = rows.select(F.explode(F.arrays_zip("slots", "counts")).alias("z")).groupBy(F.col("z.slots").alias("slot")).agg(F.sum("z.counts").alias("n"))
-    got = sums.toPandas()  # at most SLOTS rows
-    table = np.zeros(SLOTS, dtype=np.int64)
+    got = sums.toPandas()
+    table = np.zeros(size, dtype=np.int64)
     table[got["slot"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     return table
 
 
+def _rho(texts: DataFrame, shared: Broadcast) -> tuple[float, float] | None:
+    """The median shares of the ends and of the starts of all lines of (text), to 1 in BINS; None without lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, out = Model(unpack(shared.value)), np.zeros((2, BINS), dtype=np.int64)
+        for b in batches:
+            t = b["text"].tolist()
+            for i, j in _chunks(t):
+                model.edges(Lines(t[i:j], False), out)
+        at = np.flatnonzero(out)
+        if len(at):
+            yield pd.DataFrame({"slots": [at.astype(np.int32)], "counts": [out.ravel()[at]]})
+
+    table = _sums(texts.select("text").mapInPandas(run, "slots array<int>, counts array<bigint>"), 2 * BINS).reshape(2, BINS)
+    if not table.any():
+        return None
+    middle = [np.searchsorted(np.cumsum(x), [(x.sum() + 1) // 2, x.sum() // 2 + 1]).mean() for x in table]
+    return float((middle[0] + 0.5) / BINS), float((middle[1] + 0.5) / BINS)
+
+
+def fit(texts: DataFrame) -> Broadcast:
+    """What load makes a model of, from all rows of (text): the packed counts and rho, broadcast."""
+    context = texts.sparkSession.sparkContext
+    packed = pack(train(texts))
+    counts = context.broadcast(packed)
+    rho = _rho(texts, counts)
+    counts.unpersist()
+    return context.broadcast((packed, rho))
+
+
+def load(fitted: tuple) -> Model:
+    return Model(unpack(fitted[0]), fitted[1])
+
+
 def split(texts: DataFrame) -> DataFrame:
     """(tbl, rec_id, start_at, end_at): one row per sentence of each row (tbl, rec_id, text).
 
@@ -313,16 +356,14 @@ def split(texts: DataFrame) -> DataFrame:
     length are split whole.
     """
     rows = texts.select("tbl", "rec_id", "text").filter("text is not null and text <> ''")
-    shared = rows.sparkSession.sparkContext.broadcast(pack(train(rows)))
+    shared = fit(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(unpack(shared.value))
+        model = load(shared.value)
         for b in batches:
             t = b["text"].tolist()
             starts: list[list[int]] = []
             for i, j in _chunks(t):
-                if model.rho[0] is None:
-                    model.calibrate(Lines(t[i:j]))
                 starts += segment(t[i:j], model)
             ends = [[len(x[a:z].rstrip()) + a for a, z in zip(s, [*s[1:], len(x)])] for x, s in zip(t, starts)]
             yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec_id"], "starts": starts, "ends": ends})

@@ -184,13 +184,11 @@ def _emit(tables: np.ndarray) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"model": [k], "slots": [s.astype(np.int32)], "counts": [row[s].astype(np.int64)]})
 
 
-def _each(batches: Iterator[pd.DataFrame], table: tuple) -> Iterator[tuple[pd.DataFrame, Tokens]]:
-    model = S.Model(unpack(table))
+def _each(batches: Iterator[pd.DataFrame], fitted: tuple) -> Iterator[tuple[pd.DataFrame, Tokens]]:
+    model = S.load(fitted)
     for b in batches:
         texts = b["text"].tolist()
         for i, j in S._chunks(texts):
-            if model.rho[0] is None:
-                model.calibrate(S.Lines(texts[i:j]))
             yield b.iloc[i:j], Tokens(texts[i:j], model)
 
 
@@ -214,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     want = materialize(label_sets(labels, names), "wants")
     if not names or want.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, subject string, second double")
-    cut = spark.sparkContext.broadcast(pack(S.train(text)))
+    cut = S.fit(text)
     k = len(names) + 1
 
     def background(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -187,3 +187,26 @@ def test_subject_edges(spark):
 @pytest.mark.parametrize("token,n", [("abc", 0), ("Вrаn", 3), ("口ビー", 1)])
 def test_script_changes(token, n):
     assert lookalikes.mixing(token) == n
+
+
+def test_sentence_starts_do_not_depend_on_partitions(spark):
+    """One text, read after lines of one kind or of the other; rho comes from all lines, whatever a task reads first."""
+    mixed = [" ".join(lines(2, i)) for i in range(300)]
+    head = [x for i in range(40) for x in ("# " + str(i), "- item", "* x")]
+    rows = [("t", str(i), x) for i, x in enumerate(head + mixed)]
+
+    def run(order, parts):
+        df = spark.createDataFrame(order, "tbl string, rec_id string, text string").coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(order, parts), "tbl string, rec_id string, text string")
+        return sorted((r.rec_id, r.start_at) for r in sentences.split(df).collect())
+
+    assert run(rows, 1) == run(rows, 40) == run(rows[::-1], 13)
+
+
+def test_rho_is_the_median_over_all_lines(spark):
+    texts = lines(500, 3) + ["- item"] * 200
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(9)
+    model = sentences.load(sentences.fit(df).value)
+    all_ = sentences.Lines(texts)
+    ends = model.share(0, all_.closings(all_.last[all_.real] + 1), 0)
+    starts = model.share(1, all_.openings(all_.first[all_.real]), 0)
+    assert model.rho == pytest.approx((np.median(ends), np.median(starts)), abs=2 / sentences.BINS)
