@@ -210,3 +210,31 @@ def test_rho_is_the_median_over_all_lines(spark):
     ends = model.share(0, all_.closings(all_.last[all_.real] + 1), 0)
     starts = model.share(1, all_.openings(all_.first[all_.real]), 0)
     assert model.rho == pytest.approx((np.median(ends), np.median(starts)), abs=2 / sentences.BINS)
+
+
+def test_held_out_lines_are_not_in_the_model():
+    import pandas as pd
+
+    clean = lines(2000, 5)
+    out = pd.concat(mojibake._scan(iter([pd.DataFrame({"tbl": "posts", "rec_id": [str(i) for i in range(len(clean))], "text": clean})])))
+    held = set(out[out["kind"] == "h"]["text"])
+    assert 0 < len(held) < 0.1 * len(clean)
+    got = out[out["kind"] == "c"].iloc[0]
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count([x for x in clean if x not in held], table)
+    assert (np.flatnonzero(table) == got["slots"]).all() and (table[got["slots"]] == got["counts"]).all()
+
+
+def test_margin_comes_from_all_held_lines(spark):
+    """The margin is the same in any order of the rows, and every family damages some lines."""
+    texts = lines(600, 7)
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(lines(3000, 1), table)
+    shared = spark.sparkContext.broadcast(charlm.pack(table))
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    margins = {mojibake._validated_margin(df.repartition(n), shared) for n in (1, 7)}
+    assert len(margins) == 1 and margins.pop() >= mojibake.MARGIN
+    assert {f for x in texts for f, _ in mojibake.hurt(x)} == set(mojibake.FAMILIES)
+    counts = np.zeros((2, mojibake.STEPS), dtype=np.int64)
+    counts[0, 0], counts[0, 47], counts[1, 200] = 90, 10, 100  # clean lines gain up to 12
+    assert mojibake._told_apart(counts) == 12.0
