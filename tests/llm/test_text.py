@@ -238,3 +238,25 @@ def test_margin_comes_from_all_held_lines(spark):
     counts = np.zeros((2, mojibake.STEPS), dtype=np.int64)
     counts[0, 0], counts[0, 47], counts[1, 200] = 90, 10, 100  # clean lines gain up to 12
     assert mojibake._told_apart(counts) == 12.0
+
+
+def test_thinly_spread_damage_is_scored():
+    """Single letters swapped in separate words, none of them striking by itself, gain above the margin in sum."""
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(lines(3000, 1) + ["Le café est fermé."] * 50, table)
+    judge = mojibake.Restorer(charlm.Model(table))
+    scores = judge.model.char_scores
+    # every swapped letter is a little unlikely, no six characters in a row are very unlikely
+    judge.model.char_scores = lambda t: np.where(np.frombuffer(t.encode("utf-32-le"), np.uint32) == ord("й"), -6.0, np.maximum(scores(t), -4.0))
+    x = " ".join(["fermé aaaaa"] * 12)
+    assert judge.best([x.replace("é", "й")])[0][2] == x
+
+
+def test_stretch_and_word_chains_compete(monkeypatch):
+    """A stretch chain beyond the margin does not win over a likelier chain between one-byte encodings."""
+    monkeypatch.setattr(mojibake, "chains", lambda text, odd: [("cp1252>cp932", 0, 4, "weak")])
+    monkeypatch.setattr(mojibake, "word_chains", lambda words: [("cp1252>cp1251", ["word"])])
+    judge = mojibake.Restorer(charlm.Model(np.zeros(charlm.SLOTS, dtype=np.int64)))
+    sums = {"éèéè": -60.0, "weak": -30.0, "word": -4.0}
+    monkeypatch.setattr(judge.model, "totals", lambda texts: (np.array([sums[x] for x in texts]), np.array([4] * len(texts))))
+    assert judge.best(["éèéè"])[0][:2] == (56.0 - mojibake.PRIOR, "cp1252>cp1251")
