@@ -257,6 +257,32 @@ def test_stretch_and_word_chains_compete(monkeypatch):
     monkeypatch.setattr(mojibake, "chains", lambda text, odd: [("cp1252>cp932", 0, 4, "weak")])
     monkeypatch.setattr(mojibake, "word_chains", lambda words: [("cp1252>cp1251", ["word"])])
     judge = mojibake.Restorer(charlm.Model(np.zeros(charlm.SLOTS, dtype=np.int64)))
-    sums = {"éèéè": -60.0, "weak": -30.0, "word": -4.0}
+    sums = {"éèéè": -60.0, "weak": -30.0, "word": -4.0, "éèéè".translate(mojibake._SWAP["cp1252", "cp1251"]): -4.0}
     monkeypatch.setattr(judge.model, "totals", lambda texts: (np.array([sums[x] for x in texts]), np.array([4] * len(texts))))
     assert judge.best(["éèéè"])[0][:2] == (56.0 - mojibake.PRIOR, "cp1252>cp1251")
+
+
+ZH, KO = "他昨天在图书馆门口等了很久，后来才知道会议已经取消了。", "어제 도서관 앞에서 오래 기다렸지만 회의는 취소되었다고 한다."
+
+
+@pytest.mark.parametrize("text,true,wrong", [(ZH, "gb18030", "cp932"), (KO, "cp949", "cp932"), (JA[0], "cp932", "cp949"), ("когда зима", "utf-8", "euc_jp"), (RU[0], "cp1251", "gb18030"), (RU[1], "cp1251", "cp1253"), (RU[1], "koi8_r", "cp874")])
+@pytest.mark.parametrize("head", ["", "きのうは晴れていた。\n"])
+def test_every_pair_has_a_candidate(text, true, wrong, head):
+    """Also where a part of the text is clean and fits another encoding."""
+    raw = text.encode(true)
+    bad = raw.decode(wrong, "replace") if wrong in mojibake.WIDE else "".join(mojibake.TABLES[wrong][b] for b in raw)
+    x = head + bad
+    names = {n.removesuffix(":2") for n, *_ in mojibake.chains(x, np.arange(len(x) + 1) * 9.0)} | {n for n, _ in mojibake.word_chains([m[0] for m in mojibake.WORD.finditer(x)])}
+    assert bad != text and mojibake.suspicion(x) and f"{wrong}>{true}" in names
+
+
+def test_chains_into_one_byte_drop_no_characters():
+    x = "､ｽ､ﾎｷ�､ﾊ､�2678ﾈﾖﾌﾜ､ﾎｽ"  # half-width kana are not in cp949
+    assert not [n for n, *_ in mojibake.chains(x, np.arange(len(x) + 1) * 9.0) if n.startswith("cp949>") and n.split(">")[1] in mojibake.TRUE_NARROW]
+
+
+def test_word_is_judged_between_its_neighbours():
+    """A Thai letter that opens many lines is no reading of a French word in the middle of one."""
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(["il a dit non à Paul"] * 50 + ["เ ก"] * 500, table)
+    assert mojibake.Restorer(charlm.Model(table))._words(["il a dit non à Paul"]) == [{}]
