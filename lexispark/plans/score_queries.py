@@ -174,8 +174,7 @@ def anchor_usage(s, d):
 
 @query("WITH x AS (SELECT doc_id, substr(text, 1, (length(text) / 2)::INTEGER) AS h FROM documents WHERE text IS NOT NULL AND length(text) % 2 = 0) SELECT doc_id, len(regexp_extract_all(h, '[「『（(【《〈\\[{«“]')) > len(regexp_extract_all(h, '[」』）)】》〉\\]}»”]')) AS inside FROM x")
 def inside_enclosures(s, d):
-    t = docs(s, d).filter(F.length("text") % 2 == 0)
-    return t.select("doc_id", X.inside_brackets(F.col("text"), (F.length("text") / 2).cast("int")).alias("inside"))
+    return docs(s, d).select("doc_id", X.inside_brackets(F.col("text"), F.floor(F.length("text") / 2).cast("int")).alias("inside"))
 
 
 @query("WITH c(w, k) AS (VALUES " + ", ".join(f"('{w}', '{k}')" for w, k in X.CONCEPTS) + "), h AS (SELECT DISTINCT doc_id, k FROM documents JOIN c ON contains(lower(text), w)) SELECT k AS concept, count(*)::BIGINT AS documents FROM h GROUP BY 1")

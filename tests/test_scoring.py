@@ -77,3 +77,15 @@ def test_edit_script_turns_one_list_into_the_other(a, b):
     script = R.edit_script(a, b, limit=1000)
     assert sum(len(x) for _, x, _ in script) - sum(len(y) for _, _, y in script) == len(a) - len(b)
     assert bool(script) == (a != b)
+
+
+def test_inside_enclosures_keeps_every_document(spark):
+    """Documents of odd length too, against a count of the brackets in plain Python."""
+    from lexispark.plans import score_queries
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").filter("text is not null").collect()}
+    half = {i: t[: len(t) // 2] for i, t in texts.items()}
+    want = {i: sum(c in "「『（(【《〈[{«“" for c in h) > sum(c in "」』）)】》〉]}»”" for c in h) for i, h in half.items()}
+    got = {r.doc_id: r.inside for r in score_queries.inside_enclosures(spark, d).collect()}
+    assert any(len(t) % 2 for t in texts.values()) and got == want
