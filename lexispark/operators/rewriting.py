@@ -1,4 +1,4 @@
-"""Rule-based rewriting: dictionaries, greedy span choice, plans, independent checks, and selection of candidates.
+"""Rule-based rewriting: dictionaries, greedy span choice, plans, checks by recomputation, and selection of candidates.
 
 The steps that are sequential within one text (longest-match scanning, greedy choice, diverse selection) run on Arrow
 batches or per key; all others are DataFrame plans.
@@ -115,7 +115,7 @@ def plans(sources: DataFrame, options: DataFrame, key: str, variants: int = 6) -
 
 
 def verify_edits(texts: DataFrame, key: str, column: str, results: DataFrame, rules: list[tuple[str, str, str, int]]) -> DataFrame:
-    """(key, ok): an independent recomputation of apply_dictionary's results (key, text) gives the same text."""
+    """(key, ok): a second run of apply_dictionary's results (key, text) gives the same text."""
     again = apply_dictionary(texts, key, column, rules).select(key, F.sha2("text", 256).alias("want"))
     return again.join(results.select(key, F.sha2("text", 256).alias("got")), key, "full").select(key, F.coalesce(F.col("want") == F.col("got"), F.lit(False)).alias("ok"))
 

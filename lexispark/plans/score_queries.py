@@ -147,7 +147,7 @@ def fact_comparison(s, d):
     return C.compare_facts(f, f.filter("role is not null"), ["case_id", "lemma"], ["polarity", "tense", "realization"])
 
 
-# Character TF-IDF and topic terms
+# Topic terms by word weights
 @query(r"WITH tok AS (SELECT replace(lower(trim(source)), '-', '_') AS src, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT src, doc_id, term, count(*) AS n FROM tok GROUP BY 1, 2, 3), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tf GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2), w AS (SELECT src, term, round(sum((1 + ln(n)) / ln(1 + df)), 4) AS weight FROM tf JOIN df USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, term) AS rank FROM w) SELECT src, term, weight::DOUBLE AS weight, rank::INTEGER AS rank FROM r WHERE rank <= 15")
 def topic_terms(s, d):
     t = docs(s, d).select(tidy().alias("src"), "doc_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("src", "doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
