@@ -257,6 +257,7 @@ def _best_spans(places: list[tuple[int, float, int]], model: Model) -> list[int]
     if n == 2:
         return []
     best, back = [0.0] + [-1e18] * (n - 1), [0] * n
+    top, usual = [0.0] * n, math.exp(model.mean)  # top[i]: the best of best[0] to best[i]
     for j in range(1, n):
         pj, sj, dj = places[j]
         for i in range(j - 1, -1, -1):
@@ -264,9 +265,10 @@ def _best_spans(places: list[tuple[int, float, int]], model: Model) -> list[int]
             v = best[i] + sj + model.length(pj - pi) - (UNBALANCED if dj != di else 0.0)
             if v > best[j]:
                 best[j], back[j] = v, i
-            # a span this long only gets worse by reaching further back
-            if pj - pi > 4000 and i < j - 1:
+            # beyond the usual length longer spans only score less, and no length scores above 0
+            if i and top[i - 1] + sj + (model.length(pj - pi) if pj - pi >= max(usual, 1.0) else 0.0) <= best[j]:
                 break
+        top[j] = max(top[j - 1], best[j])
     out, j = [], back[n - 1]
     while j > 0:
         out.append(places[j][0])

@@ -286,3 +286,25 @@ def test_word_is_judged_between_its_neighbours():
     table = np.zeros(charlm.SLOTS, dtype=np.int64)
     charlm.count(["il a dit non à Paul"] * 50 + ["เ ก"] * 500, table)
     assert mojibake.Restorer(charlm.Model(table))._words(["il a dit non à Paul"]) == [{}]
+
+
+def test_spans_reach_back_as_far_as_it_scores():
+    """Against the best of all choices of starts, on a line longer than 4,000 characters."""
+    model = sentences.Model(np.zeros(sentences.SLOTS, dtype=np.int64))
+    model.mean, model.std = np.log(9000.0), 0.5
+    places = [(0, 0.0, 0), (100, -0.1, 0), (4500, -0.1, 0), (9000, 0.0, 0)]
+
+    def worth(inner):
+        at = [places[0], *inner, places[-1]]
+        return sum(b[1] + model.length(b[0] - a[0]) for a, b in zip(at, at[1:]))
+
+    choices = [c for k in range(3) for c in itertools.combinations(places[1:-1], k)]
+    assert sentences._best_spans(places, model) == [p[0] for p in max(choices, key=worth)] == []
+    rng = random.Random(3)
+    for _ in range(300):
+        model.mean = np.log(rng.choice([30.0, 600.0, 6000.0]))
+        offsets = sorted(rng.sample(range(1, 9000), 7))
+        places = [(0, 0.0, 0), *[(o, rng.uniform(-9, 9), 0) for o in offsets], (9001, 0.0, 0)]
+        choices = [c for k in range(8) for c in itertools.combinations(places[1:-1], k)]
+        got = [p for p in places[1:-1] if p[0] in set(sentences._best_spans(places, model))]
+        assert worth(got) == pytest.approx(max(map(worth, choices)))
