@@ -87,11 +87,18 @@ def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float
     prior, last = [0.0] * len(CHOICES), None
     for _ in range(rounds):
         params, rows = _place(params)
-        if rows is not None:
+        if rows is None:
+            # the largest change is taken where the figures lie
+            change = None if last is None else params.join(last, "annotatorid").agg(F.max(F.abs(F.col("e") - F.col("was")))).first()[0]
+            last = params.select("annotatorid", F.col("e").alias("was"))
+        else:
             now = {r["annotatorid"]: r["e"] for r in rows}
-            if not now or (last and max(abs(e - last[a]) for a, e in now.items()) < tol):
+            if not now:
                 break
+            change = None if last is None else max(abs(e - last[a]) for a, e in now.items())
             last = now
+        if change is not None and change < tol:
+            break
         scored = _scored(votes, params, prior).withColumn("d", 1 - F.element_at(F.array(*[f"p{i}" for i in k]), F.col("k") + 1))
         stats = materialize(
             scored.groupBy("annotatorid").agg(

@@ -87,3 +87,17 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert splits.assign(comps(spark, []), t).count() == 0
     with pytest.raises(ValueError):
         splits.assign(comps(spark, rows[:3]), t.limit(0))
+
+
+def test_large_pools_stop_by_the_same_rule(spark, monkeypatch):
+    """Choices and errors are the same on both sides of POOL_LIMIT."""
+    rng = random.Random(8)
+    rows = [(f"c{i}", a, "S", "left" if rng.random() < 0.75 else rng.choice(labels.CHOICES), 1) for i in range(60) for a in rng.sample([f"r{k}" for k in range(12)], 5)]
+
+    def run():
+        items, people = labels.discover(prefs(spark, rows), tol=0.05)
+        return {r.comparisonid: (r.choice, round(r.support, 9)) for r in items.collect()}, {r.annotatorid: round(r.error, 9) for r in people.collect()}
+
+    small = run()
+    monkeypatch.setattr(labels, "POOL_LIMIT", 3)
+    assert run() == small
