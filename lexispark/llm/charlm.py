@@ -67,7 +67,15 @@ class Model:
 
     def char_scores(self, text: str) -> np.ndarray:
         """Natural log-probability of each character of text, given the two before it."""
-        a = codes("\n\n" + text)
+        return self._of(codes("\n\n" + text))
+
+    def point_scores(self, points: np.ndarray) -> np.ndarray:
+        """char_scores of a text given as code points."""
+        a = np.concatenate((np.array([10, 10], dtype=np.uint32), points.astype(np.uint32, copy=False)))
+        a[(a >= 48) & (a <= 57)] = 48
+        return self._of(a)
+
+    def _of(self, a: np.ndarray) -> np.ndarray:
         one, two, three = _slots(a)
         w0, w1, w2, w3 = WEIGHTS
         p = w0 / 65536 + w1 * self.one[one[2:]] / self.total

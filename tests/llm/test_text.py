@@ -87,10 +87,22 @@ def test_lookalike_pairs_against_all_pairs(spark):
     want = {(a, b) for (a, s), (b, t) in itertools.combinations(sorted(set(texts)), 2) if a < b and s != t and shape(s) == shape(t)}
     assert got == want and len(want) == 6
     forms = {r.id: r.form for r in lookalikes.normal_forms(posts).collect()}
-    assert forms["p13"] == base[0] and forms["p14"] == base[1] and forms["p15"] == base[2] and "z1" not in forms
+    assert forms["p13"] == base[0] and forms["p14"] == base[1] and forms["p15"].startswith("т. ") and "z1" not in forms
+    keys = {r.id: r.key for r in lookalikes.normal_forms(posts).collect()}
+    assert keys["p13"] == keys["p00"] and keys["p15"] == keys["p02"]
+    groups = {r.id: (r.class_id, r.spellings) for r in lookalikes.classes(posts).collect()}
+    assert {(a, b) for a, b in itertools.combinations(sorted(groups), 2) if groups[a] == groups[b] and dict(rows_ := [(i, t) for i, t, *_ in rows])[a] != dict(rows_)[b]} == want
     assert lookalikes.same_looking(posts.limit(0)).count() == 0
 
 
+def test_tokens_of_one_script_stay(spark):
+    """Only tokens that mix scripts are repaired, and only into the vocabulary."""
+    texts = ["二 人が来た", "力 が要る", "口 を開く", "へ 行く", "The оса said", "ΑΒΕ κ", "ニ ニ ニ", "カ カ カ", "ロ ロ", "oca oca", "pаge pаgе", "page"] + ["ニ", "カ", "ロ"]
+    posts = spark.createDataFrame([(f"p{i:02}", t, None) for i, t in enumerate(texts)], "id string, content string, normalized string")
+    forms = {r.id: r.form for r in lookalikes.normal_forms(posts).collect()}
+    assert [forms[f"p{i:02}"] for i in range(len(texts))] == [*texts[:10], "page page", *texts[11:]]
+
+
 def test_copies_make_no_pairs(spark):
     rows = [(f"a{i:04}", "同じ文", None) for i in range(3000)] + [("b", "同じ 文", None), ("c", "同じ 文", None)]
     posts = spark.createDataFrame(rows, "id string, content string, normalized string")
@@ -240,26 +252,53 @@ def test_margin_comes_from_all_held_lines(spark):
     assert mojibake._told_apart(counts) == 12.0
 
 
+def trained(texts):
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(texts, table)
+    return charlm.Model(table)
+
+
 def test_thinly_spread_damage_is_scored():
     """Single letters swapped in separate words, none of them striking by itself, gain above the margin in sum."""
-    table = np.zeros(charlm.SLOTS, dtype=np.int64)
-    charlm.count(lines(3000, 1) + ["Le café est fermé."] * 50, table)
-    judge = mojibake.Restorer(charlm.Model(table))
-    scores = judge.model.char_scores
+    judge = mojibake.Restorer(trained(lines(3000, 1) + ["Le café est fermé."] * 50))
+    scores = judge.model._of
     # every swapped letter is a little unlikely, no six characters in a row are very unlikely
-    judge.model.char_scores = lambda t: np.where(np.frombuffer(t.encode("utf-32-le"), np.uint32) == ord("й"), -6.0, np.maximum(scores(t), -4.0))
+    judge.model._of = lambda a: np.where(a[2:] == ord("й"), -6.0, np.maximum(scores(a), -4.0))
     x = " ".join(["fermé aaaaa"] * 12)
     assert judge.best([x.replace("é", "й")])[0][2] == x
 
 
-def test_stretch_and_word_chains_compete(monkeypatch):
-    """A stretch chain beyond the margin does not win over a likelier chain between one-byte encodings."""
-    monkeypatch.setattr(mojibake, "chains", lambda text, odd: [("cp1252>cp932", 0, 4, "weak")])
-    monkeypatch.setattr(mojibake, "word_chains", lambda words: [("cp1252>cp1251", ["word"])])
-    judge = mojibake.Restorer(charlm.Model(np.zeros(charlm.SLOTS, dtype=np.int64)))
-    sums = {"éèéè": -60.0, "weak": -30.0, "word": -4.0, "éèéè".translate(mojibake._SWAP["cp1252", "cp1251"]): -4.0}
-    monkeypatch.setattr(judge.model, "totals", lambda texts: (np.array([sums[x] for x in texts]), np.array([4] * len(texts))))
-    assert judge.best(["éèéè"])[0][:2] == (56.0 - mojibake.PRIOR, "cp1252>cp1251")
+def test_stretch_and_word_chains_compete():
+    """Of all chains beyond the margin the likeliest is taken, whatever its family."""
+    judge = mojibake.Restorer(trained(lines(3000, 1)))
+    by = {"cp1252>cp932": [(20.0, 0, 4, "weak")], "cp1252>cp1251": [(30.0, 0, 2, "wo"), (26.0, 2, 4, "rd")]}
+    assert judge._take("éèéè", by) == (56.0, "cp1252>cp1251", "word")
+    assert judge._take("éèéè", {"cp1252>cp932": [(8.0, 0, 4, "weak")]}) is None
+
+
+def test_search_against_every_single_decoding():
+    """The gains of chains from readings of more bytes, against encoding and decoding each pair of encodings by itself."""
+    model = trained(lines(3000, 1) + [ZH, KO] * 50)
+    pairs = [(ZH, "gb18030", "cp932"), (KO, "cp949", "cp932"), (JA[0], "cp932", "cp949"), (JA[1], "cp932", "gb18030"), (RU[0], "cp1251", "gb18030"), (RU[1], "koi8_r", "big5")]
+    bad = [x[a : a + 9].encode(t).decode(w, "replace") for x, t, w in pairs for a in range(20)]
+    texts = [x for x in bad if x and not x.isascii() and "\n" not in x and mojibake.LOST not in x and len(mojibake.PIECE.match(x)[0]) == len(x) >= 4]
+    got = mojibake._Search(model, -1e9, texts)
+    assert len(got.open) >= 10
+    for x, gains in zip(got.texts, got.gains):
+        for w in mojibake.WIDE:
+            for t in (*mojibake.TRUE_WIDE, *mojibake.TRUE_NARROW):
+                if t == w:
+                    continue
+                try:
+                    raw = x.encode(w)
+                except UnicodeEncodeError:
+                    continue
+                y = raw.decode(t, "replace") if t in mojibake.TRUE_WIDE else "".join(mojibake.TABLES[t][b] for b in raw)
+                sums, _ = model.totals([x, y])
+                fits = not mojibake.IMPLAUSIBLE.search(y) if t in mojibake.TRUE_NARROW else y.count(mojibake.LOST) * 6 <= sum(c > "\x7f" for c in y)
+                want = sums[1] - sums[0] if fits and y != x and sums[1] > sums[0] else None
+                have = sum(g for g, *_ in gains[f"{w}>{t}"]) if f"{w}>{t}" in gains else None
+                assert abs((want or 0.0) - (have or 0.0)) < 0.05
 
 
 ZH, KO = "他昨天在图书馆门口等了很久，后来才知道会议已经取消了。", "어제 도서관 앞에서 오래 기다렸지만 회의는 취소되었다고 한다."
@@ -272,20 +311,30 @@ def test_every_pair_has_a_candidate(text, true, wrong, head):
     raw = text.encode(true)
     bad = raw.decode(wrong, "replace") if wrong in mojibake.WIDE else "".join(mojibake.TABLES[wrong][b] for b in raw)
     x = head + bad
-    names = {n.removesuffix(":2") for n, *_ in mojibake.chains(x, np.arange(len(x) + 1) * 9.0)} | {n for n, _ in mojibake.word_chains([m[0] for m in mojibake.WORD.finditer(x)])}
-    assert bad != text and mojibake.suspicion(x) and f"{wrong}>{true}" in names
+    gains = mojibake._Search(trained([text] * 50 + ["きのうは晴れていた。"] * 50), -1e9, [x]).gains
+    assert bad != text and mojibake.suspicion(x) and f"{wrong}>{true}" in {n.removesuffix(":2") for n in gains[0]}
 
 
 def test_chains_into_one_byte_drop_no_characters():
     x = "､ｽ､ﾎｷ�､ﾊ､�2678ﾈﾖﾌﾜ､ﾎｽ"  # half-width kana are not in cp949
-    assert not [n for n, *_ in mojibake.chains(x, np.arange(len(x) + 1) * 9.0) if n.startswith("cp949>") and n.split(">")[1] in mojibake.TRUE_NARROW]
+    gains = mojibake._Search(trained(lines(3000, 1)), -1e9, [x]).gains[0]
+    assert not [n for n in gains if n.startswith("cp949>") and n.split(">")[1] in mojibake.TRUE_NARROW]
 
 
 def test_word_is_judged_between_its_neighbours():
     """A Thai letter that opens many lines is no reading of a French word in the middle of one."""
-    table = np.zeros(charlm.SLOTS, dtype=np.int64)
-    charlm.count(["il a dit non à Paul"] * 50 + ["เ ก"] * 500, table)
-    assert mojibake.Restorer(charlm.Model(table))._words(["il a dit non à Paul"]) == [{}]
+    gains = mojibake._Search(trained(["il a dit non à Paul"] * 50 + ["เ ก"] * 500), -1e9, ["il a dit non à Paul"]).gains
+    assert gains in ([], [{}])
+
+
+def test_a_text_is_judged_alike_in_any_company():
+    """Results do not depend on which texts are searched together, on breaks inside them or on their order."""
+    judge = mojibake.Restorer(trained(lines(3000, 1) + [ZH, KO] * 20))
+    texts = [JA[0].encode().decode("cp1252", "ignore"), "a\n\nb\n" + RU[0].encode("cp1251").decode("koi8_r"), ZH.encode("gb18030").decode("cp932", "replace") + "\n\n\n", FR[0], "\n", "�", "x�é", EN[0], "😀" + JA[1].encode().decode("gb18030", "replace")]
+    alone = [judge.restore([t])[0] for t in texts]
+    assert [a[:2] for a in judge.restore(texts)] == [a[:2] for a in alone]
+    assert [a[:2] for a in judge.restore(texts[::-1])] == [a[:2] for a in alone[::-1]]
+    assert sum(bool(a[1]) for a in alone) >= 3
 
 
 def test_spans_reach_back_as_far_as_it_scores():
