@@ -18,6 +18,17 @@ def status_fold(checks: DataFrame, key: str) -> DataFrame:
     return checks.groupBy(key).agg(F.when(bad, "rejected").when(open_, "needs_review").otherwise("passed").alias("verdict"))
 
 
+def compare_runs(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], group: str) -> DataFrame:
+    """(group, n_a, n_b, shared, equal, holds): two runs joined row by row on a key, which includes the group. ``equal`` rows agree
+    on all fields, null with null; a group holds if every row is in both runs and equal.
+    """
+    x = a.select(*key, F.lit(True).alias("ia"), F.struct(*fields).alias("x"))
+    y = b.select(*key, F.lit(True).alias("ib"), F.struct(*fields).alias("y"))
+    j = x.join(y, key, "full").select(group, F.coalesce("ia", F.lit(False)).alias("ia"), F.coalesce("ib", F.lit(False)).alias("ib"), F.col("x").eqNullSafe(F.col("y")).alias("same"))
+    both = F.col("ia") & F.col("ib")
+    return j.groupBy(group).agg(F.count_if("ia").alias("n_a"), F.count_if("ib").alias("n_b"), F.count_if(both).alias("shared"), F.count_if(both & F.col("same")).alias("equal"), F.bool_and(both & F.col("same")).alias("holds"))
+
+
 def mean_if_all(c: Column) -> Column:
     """The mean if every value is known, else null."""
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))

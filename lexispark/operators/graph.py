@@ -7,42 +7,49 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.session import materialize
+from lexispark.operators.skew import lookup_join
+from lexispark.session import discard, materialize
 
 
 def entity_edges(df: DataFrame, node: str, entities: list) -> DataFrame:
     """Edges (a, b) that join every record with the least record that shares one of its entities.
 
     ``entities`` are columns (expressions); a null entity joins nothing. An entity held by n records gives n - 1 edges,
-    never n squared. A hot entity is no hot task: its least record is found by a pre-aggregated minimum and reaches the
-    rows through a join whose hot keys AQE splits.
+    never n squared. A hot entity is no hot task: its least record is found by a pre-aggregated minimum, and the rows of
+    entities that hold a thousandth of them or more meet it by broadcast.
     """
     names = [f"e{i}" for i in range(len(entities))]
     flat = df.select(F.col(node).alias("n"), *[c.cast("string").alias(k) for c, k in zip(entities, names)])
     pairs = flat.select(
         "n", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.sha2(F.concat(F.lit(f"{k}:"), F.col(k)), 256)) for k in names])).alias("e")
     ).filter(F.col("n").isNotNull() & F.col("e").isNotNull())
-    least = pairs.groupBy("e").agg(F.min("n").alias("m"), F.max("n").alias("x")).filter("m < x").drop("x")
-    return pairs.join(least, "e").filter(F.col("n") != F.col("m")).select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
+    least = pairs.groupBy("e").agg(F.min("n").alias("m"), F.max("n").alias("x"), F.count(F.lit(1)).alias("size")).filter("m < x").drop("x")
+    met = lookup_join(pairs, materialize(least, "entities"), "e", "size")
+    return met.filter(F.col("n") != F.col("m")).select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, m, size): the least of each node and its neighbours, and its degree."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "minima")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The star of every node's larger neighbours around the least node near it, and a table to discard when it was read.
+    Centres of many edges meet their minimum by broadcast.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return both.join(_minima(both), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = _minima(both)
+    return lookup_join(both, least, "u", "size").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = _minima(down)
     return (
-        down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        lookup_join(down, least, "u", "size").select(F.col("v").alias("a"), F.col("m").alias("b"))
         .unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         .filter("a <> b").distinct()
-    )
+    ), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -65,7 +72,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "cc")
+        large, used = _large_star(now)
+        wide = materialize(large, "cc")
+        small, more = _small_star(wide)
+        before, now = now, materialize(small, "cc")
+        for t in (used, wide, more, before):
+            discard(t)
         after = _state(now)
         if after == state:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
 from lexispark.operators.graph import connected_components
+from lexispark.operators.skew import lookup_join
 from lexispark.session import materialize
 
 #: Words of a shingle text: characters of scripts without blanks, else runs of letters and digits.
@@ -17,18 +18,19 @@ def containment(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str,
     """(needle_id, hay_id) where hay.text contains needle.text; both tables are (id, text) with normalised texts.
 
     Exact for needles of at least ``gram`` characters; shorter ones match nothing. Instead of comparing all pairs, a
-    needle meets the texts that hold its rarest gram; grams are counted over the texts first.
+    needle meets the texts that hold its rarest gram; grams are counted over the texts first. Postings of other grams are
+    never shuffled.
     """
     n = needles.filter(F.length("text") >= gram).select(F.col(needle_id), F.col("text").alias("needle"))
     grams = n.select(needle_id, "needle", F.explode(F.array_distinct(T.char_ngrams(F.col("needle"), gram))).alias("gram"))
-    wanted = grams.select("gram").distinct()
-    postings = materialize(
-        hay.select(hay_id, F.explode(F.array_distinct(T.char_ngrams(F.col("text"), gram))).alias("gram")).join(wanted, "gram"), "postings"
-    )
-    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    postings = hay.select(hay_id, F.explode(F.array_distinct(T.char_ngrams(F.col("text"), gram))).alias("gram"))
+    df = materialize(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(grams.select("gram").distinct(), "gram"), "grams")
     # a gram that no text holds proves that the needle is in none
     rarest = grams.join(df, "gram", "left").groupBy(needle_id, "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).filter("r.df > 0")
-    pairs = rarest.select(needle_id, "needle", F.col("r.gram").alias("gram")).join(postings, "gram")
+    rarest = materialize(rarest.select(needle_id, "needle", F.col("r.gram").alias("gram"), F.col("r.df").alias("df")), "needles")
+    # only texts that hold some needle's rarest gram are kept, and grams held by many texts are not gathered in one task
+    held = lookup_join(postings, rarest.select("gram", "df").distinct(), "gram", "df")
+    pairs = rarest.drop("df").join(held, "gram")
     return pairs.join(hay.select(hay_id, "text"), hay_id).filter(F.contains("text", "needle")).select(needle_id, hay_id).distinct()
 
 
@@ -67,7 +69,7 @@ def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float =
     flat = reps.select("class_key", F.size("sh").alias("n"), F.explode("sh").alias("g"))
     df = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # shingles that one class alone holds come first in the order and join nothing: they only count
-    shared = flat.join(df, "g")
+    shared = lookup_join(flat, materialize(df.withColumn("size", F.col("df")), "shared"), "g", "size")
     order = shared.groupBy("class_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("g").alias("h"), "g"))).alias("gs"))
     prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("gs"))
     heads = order.withColumn("k", prefix.cast("int")).filter("k > 0").select("class_key", "n", F.explode(F.slice("gs", 1, F.col("k"))).alias("x")).select("class_key", "n", F.col("x.g").alias("g"))

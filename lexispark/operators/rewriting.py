@@ -115,9 +115,18 @@ def plans(sources: DataFrame, options: DataFrame, key: str, variants: int = 6) -
 
 
 def verify_edits(texts: DataFrame, key: str, column: str, results: DataFrame, rules: list[tuple[str, str, str, int]]) -> DataFrame:
-    """(key, ok): a second run of apply_dictionary's results (key, text) gives the same text."""
-    again = apply_dictionary(texts, key, column, rules).select(key, F.sha2("text", 256).alias("want"))
-    return again.join(results.select(key, F.sha2("text", 256).alias("got")), key, "full").select(key, F.coalesce(F.col("want") == F.col("got"), F.lit(False)).alias("ok"))
+    """(key, ok): whether the edits of each result (key, text, edits) prove it. Nothing is rewritten again: every edit must name a
+    rule whose source stands in the original where the edit says, edits must follow each other, and the original with the
+    rules' targets put in their places must be the result. A text without result, or the reverse, is not proven.
+    """
+    source, target = (F.create_map(*[x for r in rules for x in (F.lit(r[0]), F.lit(r[i]))]) for i in (1, 2))
+    j = texts.select(key, F.col(column).alias("__a")).join(results.select(key, F.col("text").alias("__b"), "edits"), key, "full")
+    before = lambda i: F.when(i > 0, F.try_element_at("edits", i)["end"]).otherwise(0)
+    sound = F.forall(F.transform("edits", lambda e, i: (e["start"] >= before(i)) & (F.substring("__a", e["start"] + 1, e["end"] - e["start"]) == source[e["rule"]])), lambda ok: F.coalesce(ok, F.lit(False)))
+    pieces = F.transform("edits", lambda e, i: F.concat(F.substring("__a", before(i) + 1, e["start"] - before(i)), target[e["rule"]]))
+    last = F.coalesce(F.element_at(F.transform("edits", lambda e: e["end"]), -1), F.lit(0))
+    rebuilt = F.concat(F.array_join(pieces, ""), F.substring("__a", F.when(F.size("edits") > 0, last).otherwise(0) + 1, F.length("__a")))
+    return j.select(key, F.coalesce(sound & (rebuilt == F.col("__b")), F.lit(False)).alias("ok"))
 
 
 def diverse(scored: DataFrame, key: str, k: int = 3, weight: float = 1.4) -> DataFrame:

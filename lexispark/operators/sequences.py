@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +46,32 @@ def capped(df: DataFrame, caps: list[tuple[list[str], int]], order: list) -> Dat
 
 
 def inversions(df: DataFrame, group: str, position: str, value: str) -> DataFrame:
-    """(group, n, inversions, ratio): pairs i < j whose values fall, over all pairs. For groups of bounded size, such as the
-    sentences of one text; the pairs of a group are formed inside its own row.
+    """(group, n, inversions, ratio): pairs i < j whose values fall, over all pairs. Counted by merging, in n log n; a group, such
+    as the sentences of one text, is in one task.
     """
-    g = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("a"))
-    falls = F.aggregate(
-        F.sequence(F.lit(1), F.size("a")), F.lit(0).cast("bigint"),
-        lambda acc, i: acc + F.size(F.filter(F.slice("a", i, F.size("a")), lambda x: x["v"] < F.element_at("a", i)["v"])),
-    )
-    n = F.size("a").cast("bigint")
-    return g.select(group, n.alias("n"), falls.alias("inversions"), F.when(n > 1, falls / (n * (n - 1) / 2)).alias("ratio"))
+    kind = dict(df.dtypes)[group]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pd.factorize(pdf.sort_values(["p", "v"])["v"], sort=True)[0].astype(np.int64)
+        return pd.DataFrame({group: pdf[group].iloc[:1], "n": [len(v)], "inversions": [_falls(v)]})
+
+    g = df.select(group, F.col(position).alias("p"), F.col(value).alias("v")).groupBy(group).applyInPandas(run, f"{group} {kind}, n bigint, inversions bigint")
+    return g.withColumn("ratio", F.when(F.col("n") > 1, F.col("inversions") / (F.col("n") * (F.col("n") - 1) / 2)))
+
+
+def _falls(v: np.ndarray) -> int:
+    """Pairs i < j with v[i] > v[j], by doubling sorted runs: each run's elements are placed among those of the run before it."""
+    n, width, total = len(v), 1, 0
+    a = v.copy()
+    base = int(a.max()) + 1 if n else 1
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        right = (np.arange(n) // width) % 2 == 1
+        # left runs, keyed by their block, are sorted as one array; those above an element lie between it and its block's end
+        keys = block * base + a
+        left = keys[~right]
+        ends = np.searchsorted(left, (block[right] + 1) * base, side="left")
+        total += int((ends - np.searchsorted(left, keys[right], side="right")).sum())
+        a = np.sort(keys, kind="stable") - block * base
+        width *= 2
+    return total

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.session import materialize
+from lexispark.session import materialize, partitions
 
 #: A key is hot when it holds at least 1/HOT_SHARE of the rows; so there are never more than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+TASKS_PER_CORE = 8
 
 
 def hot_rows(lookup: DataFrame, weight: str, share: int = HOT_SHARE, least: int = 2000) -> DataFrame | None:
@@ -47,8 +48,10 @@ def running(df: DataFrame, group: list[str], order: list, value: str, out: str,
     ``before`` the row itself is left out; the first row of a group then has 0 (sum) or null (max). Null values count as 0
     in sums; rows with equal order columns follow each other in no defined order.
     """
-    n = df.count()
-    parts = max(1, -(-n // rows_per_task))
+    spark = df.sparkSession
+    # more parts than a few for each core would only add to the table of folds
+    most = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, partitions(spark))
+    parts = min(max(1, -(-df.count() // rows_per_task)), most)
     keys = [*[F.col(g) for g in group], *order]
     sorted_ = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     cut = materialize(sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "prefix")

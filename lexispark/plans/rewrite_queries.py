@@ -31,15 +31,33 @@ def query(sql: str | None = None):
 
 
 # Dictionaries and their independent check
-@query()
+_KEPT = r"https?://[^\s　]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|「[^「」]*」|『[^『』]*』"
+
+
+def _sql_dictionary(rules: list[tuple[str, str]]) -> str:
+    """Longest source first, each as a placeholder of its own, outside what is protected."""
+    longest = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
+    c = "z"
+    for i, (a, _) in enumerate(longest):
+        c = f"replace({c}, '{a}', chr({983040 + i}))"
+    for i, (_, b) in enumerate(longest):
+        c = f"replace({c}, chr({983040 + i}), '{b}')"
+    rx = "|".join(a.replace(".", "[.]") for a, _ in longest)
+    return f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_KEPT}') AS kept, string_split_regex(text, '{_KEPT}') AS parts FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(array_to_string(list_transform(parts, lambda z, i: {c} || coalesce(kept[i], '')), '')) AS text_hash, coalesce(list_sum(list_transform(parts, lambda z: len(regexp_extract_all(z, '{rx}')))), 0)::INTEGER AS edits FROM t"
+
+
+@query(_sql_dictionary([(a, b) for _, a, b, _ in RULES]))
 def dictionary_rewrite(s: SparkSession, d: str) -> DataFrame:
     return R.apply_dictionary(table(s, d, "documents"), "doc_id", "text", RULES).select("doc_id", F.sha2("text", 256).alias("text_hash"), F.size("edits").alias("edits"))
 
 
-@query("SELECT doc_id, true AS ok FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len(list_filter(string_split_regex(text, '{_KEPT}'), lambda z: contains(z, 'Dr.'))) = 0 AS ok FROM documents WHERE text IS NOT NULL")
 def rewrite_proof(s, d):
+    """Results in which one rule's every use was tampered with: the proof fails exactly there."""
     t = table(s, d, "documents").filter("text is not null")
-    return R.verify_edits(t, "doc_id", "text", materialize(R.apply_dictionary(t, "doc_id", "text", RULES), "rewritten"), RULES)
+    done = materialize(R.apply_dictionary(t, "doc_id", "text", RULES), "rewritten")
+    bad = done.withColumn("text", F.when(F.exists("edits", lambda e: e["rule"] == "a5"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return R.verify_edits(t, "doc_id", "text", bad, RULES)
 
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[！!]+', '!', 'g'), '[？?]+', '?', 'g'), '。{2,}', '。', 'g')) AS h FROM documents WHERE text IS NOT NULL")
@@ -48,7 +66,7 @@ def replacement_cascade(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", F.sha2(c, 256).alias("h"))
 
 
-@query()
+@query(_sql_dictionary(R.REGISTER))
 def register_plain(s, d):
     return R.to_plain(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.size("edits").alias("edits"), F.sha2("text", 256).alias("text_hash"))
 
@@ -123,8 +141,23 @@ def preference_weights(s, d):
 
 
 # Perturbation study
-@query(r"WITH t AS (SELECT doc_id, text, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) AS r, replace(text, chr(10), '') AS f FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, len(regexp_extract_all(text, '[。．.]')) = len(regexp_extract_all(r, '[。．.]')) AS same_r, length(text) - length(f) AS lost FROM t) SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE same_r)::BIGINT AS unchanged, sum(lost)::BIGINT AS lost FROM g")
+_MARKS = [*X.MARKS.values()]
+_BI = "SELECT doc_id, '{v}' AS v, substr({c}, i, 2) AS g, count(*) AS n FROM (SELECT doc_id, {c}, unnest(range(1, length({c}))) AS i FROM t WHERE length({c}) >= 2) GROUP BY 1, 2, 3"
+
+
+@query("WITH t AS (SELECT doc_id, text, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) AS reversed, replace(text, chr(10), '') AS flattened, replace(text, chr(10), '。' || chr(10)) AS periodised FROM documents WHERE text <> ''), o AS (" + _BI.format(v="text", c="text") + "), p AS (" + " UNION ALL ".join(_BI.format(v=v, c=v) for v in ("reversed", "flattened", "periodised")) + "), dot AS (SELECT p.doc_id, p.v, sum(o.n * p.n) AS d FROM o JOIN p ON o.doc_id = p.doc_id AND o.g = p.g GROUP BY 1, 2), no AS (SELECT doc_id, sum(n * n) AS s FROM o GROUP BY 1), np AS (SELECT doc_id, v, sum(n * n) AS s FROM p GROUP BY 1, 2), m AS (SELECT doc_id, v, (" + " + ".join(f"(len(regexp_extract_all(text, '{p}')) = len(regexp_extract_all(c, '{p}')))::INTEGER" for p in _MARKS) + ") AS same FROM (SELECT doc_id, text, 'reversed' AS v, reversed AS c FROM t UNION ALL SELECT doc_id, text, 'flattened', flattened FROM t UNION ALL SELECT doc_id, text, 'periodised', periodised FROM t)) SELECT np.v AS variant, count(*)::BIGINT AS n, round(avg(coalesce(d, 0)::DOUBLE / sqrt(no.s::DOUBLE * np.s::DOUBLE)), 6)::DOUBLE AS cosine, sum(same)::BIGINT AS unchanged FROM np JOIN no USING (doc_id) LEFT JOIN dot ON dot.doc_id = np.doc_id AND dot.v = np.v JOIN m ON m.doc_id = np.doc_id AND m.v = np.v GROUP BY 1")
 def perturbation_study(s, d):
-    t = table(s, d, "documents").filter("text is not null").select("text", F.array_join(F.reverse(F.split("text", "\n")), "\n").alias("r"), F.replace("text", F.lit("\n"), F.lit("")).alias("f"))
-    same = X.count_of(F.col("text"), "[。．.]") == X.count_of(F.col("r"), "[。．.]")
-    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("unchanged"), F.sum(F.length("text") - F.length("f")).alias("lost"))
+    """Lines reversed, joined or ended with full stops: the mean cosine of character pairs with the text as it was, and how many
+    of the mark counts stay the same.
+    """
+    t = table(s, d, "documents").filter("text <> ''").select(
+        "doc_id", "text", F.array_join(F.reverse(F.split("text", "\n", -1)), "\n").alias("reversed"), F.replace("text", F.lit("\n"), F.lit("")).alias("flattened"), F.replace("text", F.lit("\n"), F.lit("。\n")).alias("periodised")
+    )
+    forms = t.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("c")) for v in ("text", "reversed", "flattened", "periodised")])).alias("f")).select("doc_id", "text", "f.v", "f.c")
+    pairs = forms.filter(F.length("c") >= 2).select("doc_id", "v", F.explode(T.char_ngrams(F.col("c"), 2)).alias("g"))
+    n = pairs.groupBy("doc_id", "g").agg(*[F.count_if(F.col("v") == v).alias(v) for v in ("text", "reversed", "flattened", "periodised")])
+    per = n.groupBy("doc_id").agg(*[F.sum(F.col("text") * F.col(v)).alias(f"d_{v}") for v in ("reversed", "flattened", "periodised")], *[F.sum(F.col(v) * F.col(v)).alias(f"s_{v}") for v in ("text", "reversed", "flattened", "periodised")])
+    cos = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.try_divide(F.col(f"d_{v}").cast("double"), F.sqrt(F.col("s_text").cast("double") * F.col(f"s_{v}"))).alias("c")) for v in ("reversed", "flattened", "periodised")])).alias("x")).select("doc_id", F.col("x.v").alias("v"), F.col("x.c").alias("cosine")).filter("cosine is not null")
+    same = sum([(X.count_of(F.col("text"), p) == X.count_of(F.col("c"), p)).cast("int") for p in _MARKS[1:]], (X.count_of(F.col("text"), _MARKS[0]) == X.count_of(F.col("c"), _MARKS[0])).cast("int"))
+    j = cos.join(forms.select("doc_id", "v", same.alias("same")), ["doc_id", "v"])
+    return j.groupBy(F.col("v").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cosine"), 6).alias("cosine"), F.sum("same").alias("unchanged"))

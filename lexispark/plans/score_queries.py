@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lexispark.functions import features as X
 from lexispark.functions import text as T
 from lexispark.operators import captures as C
+from lexispark.operators import evaluate as E
 from lexispark.operators import scoring as K
-
 from lexispark.operators import vectors as V
 from lexispark.plans.text_queries import _PAIRS, _SET, pairs_of, tidy
 from lexispark.session import materialize, table
@@ -107,12 +107,17 @@ def memo_calls(s, d):
 
 
 # harness
-@query("WITH a AS (SELECT dimension, row_number() OVER (PARTITION BY dimension ORDER BY comparisonid, annotatorid, revision, saved_at, received_at, choice, reason) AS i, comparisonid FROM preferences), b AS (SELECT dimension, i, comparisonid FROM a) SELECT a.dimension, count(*)::BIGINT AS n, bool_and(a.comparisonid = b.comparisonid) AS equal FROM a JOIN b USING (dimension, i) GROUP BY 1")
+_RUN = "SELECT comparisonid, annotatorid, dimension, arg_{f}(lower(trim(choice)), (revision, coalesce(lower(trim(choice)), ''))) AS choice, arg_{f}(reason, (revision, coalesce(lower(trim(choice)), ''), coalesce(reason, ''))) AS reason FROM preferences WHERE annotatorid IS NOT NULL AND dimension IS NOT NULL AND choice IS NOT NULL GROUP BY 1, 2, 3"
+
+
+@query(f"WITH a AS ({_RUN.format(f='min')}), b AS (SELECT * FROM ({_RUN.format(f='max')}) WHERE sha256(annotatorid) < 'f'), j AS (SELECT coalesce(a.dimension, b.dimension) AS dimension, a.annotatorid IS NOT NULL AS ia, b.annotatorid IS NOT NULL AS ib, a.choice IS NOT DISTINCT FROM b.choice AS same FROM a FULL JOIN b ON a.comparisonid = b.comparisonid AND a.annotatorid = b.annotatorid AND a.dimension = b.dimension) SELECT dimension, count(*) FILTER (WHERE ia)::BIGINT AS n_a, count(*) FILTER (WHERE ib)::BIGINT AS n_b, count(*) FILTER (WHERE ia AND ib)::BIGINT AS shared, count(*) FILTER (WHERE ia AND ib AND same)::BIGINT AS equal, bool_and(ia AND ib AND same) AS holds FROM j GROUP BY 1")
 def controlled_gate(s, d):
-    w = Window.partitionBy("dimension").orderBy(*[F.col(c).asc_nulls_first() for c in ("comparisonid", "annotatorid", "revision", "saved_at", "received_at", "choice", "reason")])
-    a = table(s, d, "preferences").withColumn("i", F.row_number().over(w)).select("dimension", "i", "comparisonid")
-    b = a.select("dimension", "i", F.col("comparisonid").alias("other"))
-    return a.join(b, ["dimension", "i"]).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("comparisonid") == F.col("other")).alias("equal"))
+    """Two runs held against each other: first answers of all annotators, last answers of those whose hash is below f."""
+    p = table(s, d, "preferences").filter("annotatorid is not null and dimension is not null and choice is not null").withColumn("choice", F.lower(F.trim("choice")))
+    key, order = ["comparisonid", "annotatorid", "dimension"], F.struct("revision", F.coalesce("choice", F.lit("")))
+    a = p.groupBy(*key).agg(F.min_by("choice", order).alias("choice"))
+    b = p.filter(F.sha2("annotatorid", 256) < "f").groupBy(*key).agg(F.max_by("choice", order).alias("choice"))
+    return E.compare_runs(a, b, key, ["choice"], "dimension")
 
 
 @query("SELECT type, count(*)::BIGINT AS n FROM (SELECT 'input' AS type FROM comparisons UNION ALL SELECT 'candidate' FROM (SELECT unnest([left_text, right_text]) FROM comparisons) UNION ALL SELECT 'diagnostic' FROM (SELECT unnest(private.features) FROM comparisons)) GROUP BY 1")
@@ -172,7 +177,7 @@ def anchor_usage(s, d):
     return table(s, d, "posts").groupBy(X.anchor_placement(F.col("content")).alias("placement"), X.anchor_use(F.col("content")).alias("use")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH x AS (SELECT doc_id, substr(text, 1, (length(text) / 2)::INTEGER) AS h FROM documents WHERE text IS NOT NULL AND length(text) % 2 = 0) SELECT doc_id, len(regexp_extract_all(h, '[「『（(【《〈\\[{«“]')) > len(regexp_extract_all(h, '[」』）)】》〉\\]}»”]')) AS inside FROM x")
+@query("WITH x AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(regexp_extract_all(h, '[「『（(【《〈\\[{«“]')) > len(regexp_extract_all(h, '[」』）)】》〉\\]}»”]')) AS inside FROM x")
 def inside_enclosures(s, d):
     return docs(s, d).select("doc_id", X.inside_brackets(F.col("text"), F.floor(F.length("text") / 2).cast("int")).alias("inside"))
 
@@ -194,7 +199,7 @@ def kana_forms(s, d):
 
 
 # Output offsets
-@query()
+@query(f"WITH {_CAP}, t AS (SELECT case_id, id AS edit_id, span.start AS start, span.end AS e, '<' || text || '>' AS new FROM tk WHERE id % 4 = 0) SELECT case_id, edit_id, (start + coalesce(sum(length(new) - (e - start)) OVER (PARTITION BY case_id ORDER BY start, edit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS out_start FROM t")
 def output_offsets(s, d):
     from lexispark.operators import spans as P
 

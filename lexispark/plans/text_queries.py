@@ -328,11 +328,11 @@ def pairs_of(s, d) -> DataFrame:
     return table(s, d, "comparisons").filter("left_text is not null and right_text is not null").select("comparisonid", F.col("left_text").alias("a"), F.col("right_text").alias("b")).distinct()
 
 
-@query(f"WITH p AS ({_PAIRS}), a AS (SELECT comparisonid, v, count(*) AS n FROM (SELECT comparisonid, unnest(regexp_extract_all(a, '[0-9]+')) AS v FROM p) GROUP BY 1, 2), b AS (SELECT comparisonid, v, count(*) AS n FROM (SELECT comparisonid, unnest(regexp_extract_all(b, '[0-9]+')) AS v FROM p) GROUP BY 1, 2) SELECT a.comparisonid, a.v AS value, (a.n - coalesce(b.n, 0))::BIGINT AS missing FROM a LEFT JOIN b ON a.comparisonid = b.comparisonid AND a.v = b.v WHERE a.n > coalesce(b.n, 0)")
+@query("WITH p AS (SELECT DISTINCT comparisonid, source AS a, left_text AS b FROM comparisons WHERE source IS NOT NULL AND left_text IS NOT NULL), a AS (SELECT comparisonid, v, count(*) AS n FROM (SELECT comparisonid, unnest(regexp_extract_all(a, '[0-9]+')) AS v FROM p) GROUP BY 1, 2), b AS (SELECT comparisonid, v, count(*) AS n FROM (SELECT comparisonid, unnest(regexp_extract_all(b, '[0-9]+')) AS v FROM p) GROUP BY 1, 2) SELECT a.comparisonid, a.v AS value, (a.n - coalesce(b.n, 0))::BIGINT AS missing FROM a LEFT JOIN b ON a.comparisonid = b.comparisonid AND a.v = b.v WHERE a.n > coalesce(b.n, 0)")
 def literal_multiset_diff(s, d):
-    p = pairs_of(s, d)
+    p = table(s, d, "comparisons").filter("source is not null and left_text is not null").select("comparisonid", "source", "left_text").distinct()
     side = lambda c: p.select("comparisonid", F.explode(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))).alias("value"))
-    return side("a").exceptAll(side("b")).groupBy("comparisonid", "value").agg(F.count(F.lit(1)).alias("missing"))
+    return side("source").exceptAll(side("left_text")).groupBy("comparisonid", "value").agg(F.count(F.lit(1)).alias("missing"))
 
 
 _LITS = r"list_sort(list_distinct(regexp_extract_all({c}, '[0-9]+(?:\.[0-9]+)?')))"
