@@ -6,7 +6,10 @@ in scripts without blanks and words elsewhere, all languages together. The model
 are fitted again, some rounds, on all documents of the corpus in which they find exactly one subject beyond doubt, which
 spreads subjects to terms and languages that no label covers. A document deals with a subject if at least two of its
 sentences do; so the score of a (document, subject) is its second best sentence, accepted from the evidence at which
-acceptance agrees with the labels best.
+acceptance agrees with the labels best. That is found for each subject on labelled documents that the models judging them
+were not fitted on.
+
+Texts are cut into sentences and tokens once; a table of token hashes serves all passes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,32 +55,43 @@ def _kind_table() -> np.ndarray:
 _KINDS: list = []
 
 
+def cut(texts: list[str], model: S.Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text the hashes of its tokens, 32 bits each, and how many tokens each sentence has."""
+    if not _KINDS:
+        _KINDS.append(_kind_table())
+    starts = S.segment(texts, model)
+    many = np.array([len(s) for s in starts], dtype=np.int64)
+    base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    begin = np.concatenate([np.asarray(s, dtype=np.int64) + b for s, b in zip(starts, base)] or [np.zeros(0, np.int64)])
+    whole = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    folded = S.fold()[whole]
+    at = np.flatnonzero(folded)
+    a = folded[at]
+    kind = _KINDS[0][a]
+    head = (kind == 2) | ((kind == 1) & np.concatenate(([True], kind[:-1] != 1)))
+    first = np.flatnonzero(head)
+    if not len(first) or not len(begin):
+        return [np.zeros(0, np.int32)] * len(texts), [np.zeros(n, np.int32) for n in many]
+    run = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
+    part = np.where(kind > 0, (a.astype(np.uint64) + np.uint64(1)) * _POS[run % 64], np.uint64(0))
+    tok = ((np.add.reduceat(part, first) * _K1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    sentence = np.maximum(np.searchsorted(begin, at[first], side="right") - 1, 0)
+    sizes = np.bincount(sentence, minlength=len(begin)).astype(np.int32)
+    ends = np.cumsum(many)[:-1]
+    return np.split(tok, np.searchsorted(sentence, ends)), np.split(sizes, ends)
+
+
 class Tokens:
     """Token slots of many texts, with the sentence of each token and the text of each sentence."""
 
-    def __init__(self, texts: list[str], model: S.Model):
-        if not _KINDS:
-            _KINDS.append(_kind_table())
-        starts = S.segment(texts, model)
-        lengths = np.array([len(t) + 1 for t in texts])
-        base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-        begin = np.concatenate([np.asarray(s, dtype=np.int64) + b for s, b in zip(starts, base)]) if len(self.owner) else np.zeros(0, np.int64)
-        whole = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        folded = S.fold()[whole]
-        at = np.flatnonzero(folded)
-        a = folded[at]
-        kind = _KINDS[0][a]
-        head = (kind == 2) | ((kind == 1) & np.concatenate(([True], kind[:-1] != 1)))
-        first = np.flatnonzero(head)
-        if not len(first) or not len(begin):
-            self.one = self.two = self.three = np.zeros(0, np.int64)
-            self.sentence = np.zeros(0, np.int64)
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, sentences: np.ndarray):
+        """Of all texts in a row: token hashes, tokens of each sentence, and sentences of each text."""
+        self.owner = np.repeat(np.arange(len(sentences)), sentences)
+        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+        tok = hashes.view(np.uint32).astype(np.uint64)
+        if not len(tok):
+            self.one = self.two = self.three = self.ctx1 = self.ctx2 = self.whole = np.zeros(0, np.int64)
             return
-        run = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-        part = np.where(kind > 0, (a.astype(np.uint64) + np.uint64(1)) * _POS[run % 64], np.uint64(0))
-        tok = np.add.reduceat(part, first) * _K1
-        self.sentence = np.maximum(np.searchsorted(begin, at[first], side="right") - 1, 0)
         fresh = np.concatenate(([True], self.sentence[1:] != self.sentence[:-1]))
         prev = np.where(fresh, np.uint64(5), np.concatenate((tok[:1], tok[:-1])))
         before = np.where(fresh, np.uint64(9), np.concatenate((prev[:1], prev[:-1])))
@@ -165,31 +180,74 @@ class Models:
         return out
 
 
-def _sum_rows(rows: DataFrame, models: int) -> np.ndarray:
-    """Counts of (model, slot) summed up; at most models times SLOTS rows reach the driver."""
+COUNTS = "model int, slots array<int>, counts array<bigint>"
+_COUNTS = pa.schema([("model", pa.int32()), ("slots", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+
+def _packed(rows: DataFrame) -> dict[int, tuple]:
+    """Counts of (model, slots, counts) summed up and packed, by model. Sums and packing are done by executors, a model, of at
+    most SLOTS counts, at a time; only compressed tables reach the driver.
+    """
     z = rows.select("model", F.explode(F.arrays_zip("slots", "counts")).alias("z"))
-    got = z.groupBy("model", F.col("z.slots").alias("slot")).agg(F.sum("z.counts").alias("n")).toPandas()
-    out = np.zeros((models, SLOTS), dtype=np.float32)
-    out[got["model"].to_numpy(dtype=np.int64), got["slot"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.float32)
-    return out
+    sums = z.groupBy("model", F.col("z.slots").alias("slot")).agg(F.sum("z.counts").alias("n"))
 
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(SLOTS, dtype=np.float32)
+        table[p["slot"].to_numpy(dtype=np.int64)] = p["n"].to_numpy(dtype=np.float32)
+        _, gaps, values = pack(table)
+        return pd.DataFrame({"model": p["model"].iloc[:1], "gaps": [gaps], "counts": [values]})
 
-COUNTS = "model int, slots array<int>, counts array<bigint>"
+    done = sums.groupBy("model").applyInPandas(one, "model int, gaps binary, counts binary").collect()
+    return {r["model"]: ((SLOTS,), bytes(r["gaps"]), bytes(r["counts"])) for r in done}
+
+
+def _unpacked(tables: list[tuple | None]) -> np.ndarray:
+    out = np.zeros((len(tables), SLOTS), dtype=np.float32)
+    for k, t in enumerate(tables):
+        if t is not None:
+            out[k] = unpack(t)
+    return out
 
 
-def _emit(tables: np.ndarray) -> Iterator[pd.DataFrame]:
+def _emit(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k, row in enumerate(tables):
         s = np.flatnonzero(row)
         if len(s):
-            yield pd.DataFrame({"model": [k], "slots": [s.astype(np.int32)], "counts": [row[s].astype(np.int64)]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.astype(np.int32))),
+                 pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(row[s].astype(np.int64)))], schema=_COUNTS)
 
 
-def _each(batches: Iterator[pd.DataFrame], fitted: tuple) -> Iterator[tuple[pd.DataFrame, Tokens]]:
-    model = S.load(fitted)
+ONCE = 1_000_000  # tokens handled at once
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Parts of the token table of at most ONCE tokens, or of one text, as they lie in memory."""
     for b in batches:
-        texts = b["text"].tolist()
-        for i, j in S._chunks(texts):
-            yield b.iloc[i:j], Tokens(texts[i:j], model)
+        tok, size = b.column("tok"), b.column("size")
+        bounds = tok.offsets.to_numpy() - tok.offsets[0].as_py()
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + ONCE, side="right")) - 1)
+            some = b.slice(at, to - at)
+            t, n = tok.slice(at, to - at), size.slice(at, to - at)
+            yield some, Tokens(t.flatten().to_numpy(zero_copy_only=False), n.flatten().to_numpy(zero_copy_only=False), np.diff(n.offsets.to_numpy()))
+            at = to
+
+
+TOKENS = "doc_id bigint, want array<int>, tok array<int>, size array<int>"
+
+
+def _cutter(fitted):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = S.load(fitted.value)
+        for b in batches:
+            texts = b["text"].tolist()
+            for i, j in S._chunks(texts):
+                tok, size = cut(texts[i:j], model)
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j], "want": b["want"].iloc[i:j], "tok": tok, "size": size})
+
+    return run
 
 
 def label_sets(labels: DataFrame, names: list[str]) -> DataFrame:
@@ -207,51 +265,52 @@ def classify(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     evidence of a sentence for several subjects counts for the first by name.
     """
     spark = docs.sparkSession
-    names = sorted({r[0] for r in areas.select("subject").distinct().limit(1000).collect() if r[0]})
+    names = sorted(r[0] for r in areas.filter("subject <> ''").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"at most {MOST_SUBJECTS} subjects are possible")
     text = docs.filter("text is not null and text <> ''").select("doc_id", "text")
     want = materialize(label_sets(labels, names), "wants")
     if not names or want.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, subject string, second double")
-    cut = S.fit(text)
     k = len(names) + 1
+    all_ = materialize(text.join(want, "doc_id", "left").mapInPandas(_cutter(S.fit(text)), TOKENS), "tokens")
+    known = all_.filter("want is not null").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
 
-    def background(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((1, SLOTS), dtype=np.int32)
-        for _, t in _each(batches, cut.value):
-            out[0] += np.bincount(t.slots(), minlength=SLOTS).astype(np.int32)
+    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((1, SLOTS), dtype=np.int64)
+        for _, t in _each(batches):
+            out[0] += np.bincount(t.slots(), minlength=SLOTS)
         yield from _emit(out)
 
-    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Subject s of the documents of half h as model h * k + s."""
-        out = np.zeros((2 * k, SLOTS), dtype=np.int32)
-        for b, t in _each(batches, cut.value):
-            _add(out, t, [[h * k + s for s in w] for h, w in zip(b["half"], b["want"])])
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Subject s of the documents of half h as model h * k + s, of all as model 2 * k + s."""
+        out = np.zeros((3 * k, SLOTS), dtype=np.int32)
+        for b, t in _each(batches):
+            _add(out, t, [[m * k + s for s in w for m in (h, 2)] for h, w in zip(b.column("half").to_pylist(), b.column("want").to_pylist())])
         yield from _emit(out)
 
-    known = materialize(text.join(want, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "known")
-    ground = _sum_rows(text.mapInPandas(background, COUNTS), 1)
-    halves = _sum_rows(known.mapInPandas(labelled, COUNTS), 2 * k)
-    # labelled documents are judged by the models of the other half; the driver keeps packed copies only
-    other = [spark.sparkContext.broadcast(pack(np.concatenate((ground, halves[h * k + 1 : (h + 1) * k])))) for h in (1, 0)]
-    halves[1:k] += halves[k + 1 :]
-    models = spark.sparkContext.broadcast(pack(np.concatenate((ground, halves[1:k]))))
-    del halves
-    judged = [known.filter(F.col("half") == h).mapInPandas(_scorer(other[h], cut), SCORED) for h in (0, 1)]
-    bar = _threshold(judged[0].unionAll(judged[1]), want)
+    ground = _packed(all_.mapInArrow(background, COUNTS)).get(0)
+    first = _packed(known.mapInArrow(labelled, COUNTS))
+    by = [spark.sparkContext.broadcast([ground, *[first.get(h * k + s) for s in range(1, k)]]) for h in range(3)]
+    # labelled documents are judged by the models of the other half
+    judged = [known.filter(F.col("half") == h).mapInArrow(_scorer(by[1 - h]), SCORED) for h in (0, 1)]
+    bars = _thresholds(judged[0].unionAll(judged[1]), k - 1)
+    models = by[2]
     for _ in range(ROUNDS):
-        rows = text.mapInPandas(_refitter(models, cut, STRICT * bar, k), COUNTS)
-        counts = _sum_rows(rows, k)
-        counts[0] = ground[0]
+        # no labelled document trains the models that it is then used to judge
+        fitted = _packed(all_.filter("want is null").mapInArrow(_refitter(models, STRICT * bars, k), COUNTS))
         models.unpersist()
-        models = spark.sparkContext.broadcast(pack(counts))
-        del counts
-        bar = _threshold(known.mapInPandas(_scorer(models, cut), SCORED), want)
-    flat = text.mapInPandas(_scorer(models, cut), SCORED).select("doc_id", F.posexplode("z").alias("s", "second")).filter(F.col("second") >= bar)
-    code = F.array(*[F.lit(n) for n in names])
-    return flat.groupBy("doc_id", F.element_at(code, F.col("s") + 1).alias("subject")).agg(F.max("second").alias("second"))
+        models = spark.sparkContext.broadcast([ground, *[fitted.get(s) for s in range(1, k)]])
+        bars = _thresholds(known.mapInArrow(_scorer(models), SCORED), k - 1)
+    flat = all_.mapInArrow(_scorer(models), SCORED).select("doc_id", F.posexplode("z").alias("s", "second"))
+    code, bar = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(float(x)) for x in bars])
+    took = flat.filter(F.col("second") >= F.element_at(bar, F.col("s") + 1))
+    return took.groupBy("doc_id", F.element_at(code, F.col("s") + 1).alias("subject")).agg(F.max("second").alias("second"))
 
 
-SCORED = "doc_id bigint, z array<double>"
+#: More subjects than this are refused: every task holds a table of SLOTS counts for each.
+MOST_SUBJECTS = 200
+SCORED = "doc_id bigint, want array<int>, z array<double>"
 
 
 def _add(out: np.ndarray, t: Tokens, sets: list) -> None:
@@ -263,37 +322,48 @@ def _add(out: np.ndarray, t: Tokens, sets: list) -> None:
         out[m] += np.bincount(t.slots(np.array([m in x for x in sets], dtype=bool)[doc]), minlength=SLOTS).astype(np.int32)
 
 
-def _scorer(models, cut):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Models(unpack(models.value))
-        for b, t in _each(batches, cut.value):
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "z": list(m.second(t, len(b)))})
+def _scorer(models):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Models(_unpacked(models.value))
+        for b, t in _each(batches):
+            z = m.second(t, len(b))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("want"), rows], names=["doc_id", "want", "z"])
 
     return run
 
 
-def _refitter(models, cut, bar: float, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, out = Models(unpack(models.value)), np.zeros((k, SLOTS), dtype=np.int32)
-        for b, t in _each(batches, cut.value):
-            sure = m.second(t, len(b)) >= bar
+def _refitter(models, bars: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, out = Models(_unpacked(models.value)), np.zeros((k, SLOTS), dtype=np.int32)
+        for b, t in _each(batches):
+            sure = m.second(t, len(b)) >= bars
             _add(out, t, [[int(x.argmax()) + 1] if x.sum() == 1 else [] for x in sure])
         yield from _emit(out)
 
     return run
 
 
-GRID = [x / 4 for x in range(1, 81)]
+STEP, STEPS = 0.25, 40_000  # nats; of the histograms of evidence
+LIKE_ALL = 20.0  # labels, spread as those of all subjects, that are added to those of each subject
 
 
-def _threshold(scored: DataFrame, want: DataFrame) -> float:
-    """The evidence at which acceptance agrees best (F1) with the labels; counted in Spark on a fixed grid."""
-    flat = scored.join(want, "doc_id").select(F.posexplode("z").alias("s", "v"), "want").select("v", F.array_contains("want", F.col("s") + 1).cast("int").alias("y"))
-    hit = [F.sum(F.when(F.col("v") >= g, F.col("y"))).alias(f"t{i}") for i, g in enumerate(GRID)]
-    said = [F.sum(F.when(F.col("v") >= g, 1)).alias(f"p{i}") for i, g in enumerate(GRID)]
-    r = flat.agg(F.sum("y").alias("all"), *hit, *said).first()
-    f1 = [2 * (r[f"t{i}"] or 0) / ((r[f"p{i}"] or 0) + (r["all"] or 0) or 1) for i in range(len(GRID))]
-    return GRID[max(range(len(GRID)), key=lambda i: (f1[i], -i))]
+def _thresholds(scored: DataFrame, subjects: int) -> np.ndarray:
+    """Per subject the evidence at which acceptance agrees best (F1) with the labels, in steps of STEP; histograms are made in
+    Spark. The labels of a subject are joined by LIKE_ALL of the average subject, so that few labels do not decide alone.
+    """
+    flat = scored.select(F.posexplode("z").alias("s", "v"), "want").filter(F.col("v") >= STEP)
+    bins = flat.groupBy("s", F.least(F.floor(F.col("v") / STEP), F.lit(STEPS - 1)).cast("int").alias("g"), F.array_contains("want", F.col("s") + 1).alias("y"))
+    hits, said, true = np.zeros((subjects, STEPS)), np.zeros((subjects, STEPS)), np.zeros(subjects)
+    for r in bins.agg(F.count(F.lit(1)).alias("n")).collect():
+        said[r["s"], r["g"]] += r["n"]
+        hits[r["s"], r["g"]] += r["n"] if r["y"] else 0
+    for r in scored.select(F.explode("want").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():
+        true[r["s"] - 1] = r["n"]
+    hits, said = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (hits, said))
+    share = LIKE_ALL / max(true.sum(), 1.0)
+    f1 = 2 * (hits + share * hits.sum(axis=0)) / np.maximum(said + share * said.sum(axis=0) + (true + share * true.sum())[:, None], 1e-9)
+    return np.maximum(np.argmax(np.round(f1, 9), axis=1), 1) * STEP
 
 
 def composition(docs: DataFrame, found: DataFrame) -> DataFrame:
