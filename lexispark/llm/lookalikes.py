@@ -2,9 +2,12 @@
 
 Two steps. The base form undoes what is invisible whatever the script: invisible characters, kinds and widths of blanks,
 full and half width, composition, presentation forms. The repair then handles look-alike letters: the dominant script of
-each token (and of its text) is determined, and a look-alike spelling of a mixed-script or out-of-place token is replaced
-by the spelling of the same shape that the corpus vocabulary holds and that mixes scripts least. Case, small kana, voicing
-marks, and raised or circled figures are visible and stay.
+each token (and of its text) is determined, and a mixed-script token is replaced by the spelling of the same shape that the
+corpus vocabulary holds and that mixes scripts least. Tokens of one script stay as they are in the repaired form.
+
+Texts are compared by a key, for which tokens of one script are respelt in the same way where another spelling of their
+shape is more usual (the katakana and the Han character of one shape, a word wholly in letters of another alphabet), since
+nobody can see the difference. Case, small kana, voicing marks, and raised or circled figures are visible and stay.
 """
 
 from __future__ import annotations
@@ -184,7 +187,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         forms = [base(t) for t in b["content"]]
         found = [suspects(f) for f in forms]
-        odd = [[{"old": t, "want": "CJK" if home(t) == "CJK" else m, "mixed": home(t) == "", "shape": t.translate(_SHAPED)} for t in x] for _, x, m in found]
+        odd = [
+            [{"old": t, "want": "CJK" if home(t) == "CJK" else m, "mixed": home(t) == "", "shape": t.translate(_SHAPED), "changes": mixing(t)} for t in x]
+            for _, x, m in found
+        ]
         yield pd.DataFrame({"ch": b["ch"], "base": forms, "tokens": [x for x, _, _ in found], "odd": odd})
 
 
@@ -196,33 +202,38 @@ def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = []
-        for text, old, new in zip(b["base"], b["old"], b["new"]):
-            to = dict(zip(old, new))
-            out.append(TOKEN.sub(lambda m: to.get(m[0], m[0]), text))
-        yield pd.DataFrame({"ch": b["ch"], "form": out})
+        forms, keys = [], []
+        for text, fixes in zip(b["base"], b["fixes"]):
+            every = {f["old"]: f["new"] for f in fixes}
+            sure = {f["old"]: f["new"] for f in fixes if f["sure"]}
+            keys.append(TOKEN.sub(lambda m: every.get(m[0], m[0]), text))
+            forms.append(TOKEN.sub(lambda m: sure.get(m[0], m[0]), text) if sure else text)
+        yield pd.DataFrame({"ch": b["ch"], "form": forms, "key": keys})
 
 
 def unify(texts: DataFrame) -> DataFrame:
-    """(ch, form) for the distinct rows (ch, content), where ch names a content and content is not null.
+    """(ch, form, key) for the distinct rows (ch, content), where ch names a content and content is not null.
 
-    Vocabulary, shapes and spellings are counted over all rows. A token without a better spelling in the vocabulary
-    stays as it is; equal choices go to the more frequent, then the lesser spelling. An empty text has an empty form.
+    In ``form`` only tokens that mix scripts are repaired, where the vocabulary holds a spelling of the same shape that mixes
+    them less; texts that look the same have the same ``key``. Vocabulary, shapes and spellings are counted over all rows. A
+    token without a better spelling in the vocabulary stays as it is; equal choices go to the more frequent, then the lesser
+    spelling. An empty text has an empty form.
     """
-    schema = "ch string, base string, tokens array<string>, odd array<struct<old: string, want: string, mixed: boolean, shape: string>>"
+    schema = "ch string, base string, tokens array<string>, odd array<struct<old: string, want: string, mixed: boolean, shape: string, changes: int>>"
     scanned = materialize(texts.select("ch", "content").mapInPandas(_scan, schema), "scanned")
     counts = scanned.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     vocab = counts.mapInPandas(_shape, "token string, n bigint, shape string, mixing int, home string").filter("home <> ''")
     # the best spelling of a shape in an alphabet by an aggregate, so that no shape is gathered in one place
-    spelling = F.min_by("token", F.struct("mixing", -F.col("n"), "token"))
+    spelling = F.min(F.struct(F.col("mixing").alias("m"), (-F.col("n")).alias("n"), F.col("token").alias("t")))
     best = vocab.groupBy("shape", F.col("home").alias("want")).agg(spelling.alias("near"))
     anywhere = vocab.filter("home <> 'CJK'").groupBy("shape").agg(spelling.alias("far"))
     # a mixed token that the dominant alphabet can't spell takes the best spelling of another
     odd = scanned.select("ch", F.explode("odd").alias("o")).select("ch", "o.*").join(best, ["shape", "want"], "left").join(anywhere, "shape", "left")
-    odd = odd.withColumn("new", F.coalesce("near", F.when(F.col("mixed"), F.col("far")))).filter("old <> new")
-    fixes = odd.groupBy("ch").agg(F.collect_list("old").alias("old"), F.collect_list("new").alias("new"))
-    mended = scanned.select("ch", "base").join(fixes, "ch").mapInPandas(_rewrite, "ch string, form string")
-    plain = scanned.select("ch", F.col("base").alias("form")).join(fixes.select("ch"), "ch", "left_anti")
+    odd = odd.withColumn("new", F.coalesce("near", F.when(F.col("mixed"), F.col("far")))).filter("old <> new.t")
+    fix = F.struct("old", F.col("new.t").alias("new"), (F.col("new.m") < F.col("changes")).alias("sure"))
+    fixes = odd.groupBy("ch").agg(F.collect_list(fix).alias("fixes"))
+    mended = scanned.select("ch", "base").join(fixes, "ch").mapInPandas(_rewrite, "ch string, form string, key string")
+    plain = scanned.select("ch", F.col("base").alias("form"), F.col("base").alias("key")).join(fixes.select("ch"), "ch", "left_anti")
     return materialize(plain.unionByName(mended), "forms")
 
 
@@ -232,26 +243,38 @@ def _contents(posts: DataFrame, column: str) -> DataFrame:
 
 
 def normal_forms(posts: DataFrame) -> DataFrame:
-    """(id, form, stale) of each distinct post with a non-blank content; stale: its ``normalized`` is missing, or brought to
-    one form in the same way it is not what search normalisation makes of the form of its content.
+    """(id, form, key, stale) of each distinct post with a non-blank content: the repaired text, what it is compared by, and
+    whether its ``normalized`` is missing, or brought to one form in the same way is not what search normalisation makes of
+    its content.
     """
     a = _contents(posts, "content")
     b = _contents(posts, "normalized")
     both = a.select("ch", "content").unionByName(b.select("ch", "content")).dropDuplicates(["ch"])
     forms = unify(both)
-    own = a.select("id", "ch").distinct().join(forms, "ch").select("id", "form", normalize_for_search(F.col("form")).alias("key"))
-    given = b.select("id", "ch").distinct().join(forms, "ch").select("id", normalize_for_search(F.col("form")).alias("said"))
-    return own.join(given, "id", "left").groupBy("id", "form").agg(F.coalesce(F.bool_and(~F.col("key").eqNullSafe(F.col("said"))), F.lit(True)).alias("stale"))
+    own = a.select("id", "ch").distinct().join(forms, "ch").select("id", "form", "key", normalize_for_search(F.col("key")).alias("own"))
+    given = b.select("id", "ch").distinct().join(forms, "ch").select("id", normalize_for_search(F.col("key")).alias("said"))
+    return own.join(given, "id", "left").groupBy("id", "form", "key").agg(F.coalesce(F.bool_and(~F.col("own").eqNullSafe(F.col("said"))), F.lit(True)).alias("stale"))
+
+
+def classes(posts: DataFrame) -> DataFrame:
+    """(id, class_id, spellings): each distinct post with a non-blank content, the least id of the posts that look like it,
+    and how many different contents these have. Linear in the posts, however many look alike.
+    """
+    rows = materialize(_contents(posts, "content").select("id", "ch", "content").distinct(), "contents")
+    keyed = unify(rows.select("ch", "content").dropDuplicates(["ch"])).select("ch", F.sha2("key", 256).alias("k"))
+    ids = rows.select("id", "ch").distinct().join(keyed, "ch")
+    heads = ids.groupBy("k").agg(F.min("id").alias("class_id")).join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("spellings")), "k")
+    return ids.join(heads, "k").select("id", "class_id", "spellings").distinct()
 
 
 def same_looking(posts: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: posts of one form whose stored contents differ.
+    """(id_a, id_b), id_a < id_b: posts of one key whose stored contents differ; ``classes`` says the same without pairs.
 
-    Pairs are formed between distinct contents of a form and then between their posts, so that nothing larger than the
+    Pairs are formed between distinct contents of a key and then between their posts, so that nothing larger than the
     result arises, however often one content is copied. Null and blank contents have no partners.
     """
     rows = materialize(_contents(posts, "content").select("id", "ch", "content").distinct(), "contents")
-    forms = unify(rows.select("ch", "content").dropDuplicates(["ch"])).select("ch", F.sha2("form", 256).alias("f"))
+    forms = unify(rows.select("ch", "content").dropDuplicates(["ch"])).select("ch", F.sha2("key", 256).alias("f"))
     several = forms.groupBy("f").agg(F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("lo < hi").select("f")
     close = materialize(forms.join(several, "f"), "close")
     pairs = close.select("f", F.col("ch").alias("c1")).join(close.select("f", F.col("ch").alias("c2")), "f").filter("c1 <> c2")

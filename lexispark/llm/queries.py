@@ -24,6 +24,10 @@ def p2_items(spark: SparkSession, d: str) -> DataFrame:
     return labels.discover(table(spark, d, "preferences"))[0]
 
 
+def p2_plain(spark: SparkSession, d: str) -> DataFrame:
+    return labels.discover(table(spark, d, "preferences"), habits=False)[0]
+
+
 def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return labels.discover(table(spark, d, "preferences"))[1]
 
@@ -36,18 +40,18 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "comparisons"), table(spark, d, "split_targets"))
 
 
-def _p4(spark: SparkSession, d: str) -> DataFrame:
-    posts, captures = table(spark, d, "posts"), table(spark, d, "ginza_discourse_modesty")
-    cases = materialize(mojibake.restore(posts, None).select("tbl", "rec_id").distinct(), "cases")
-    return sentences.split(sentences.corpus(posts, captures).join(cases, ["tbl", "rec_id"], "left_anti"))
+def p3_hashed(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(table(spark, d, "comparisons"), table(spark, d, "split_targets"), balance=False)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d).select("tbl", "rec_id", "start_at").distinct()
+    posts, captures = table(spark, d, "posts"), table(spark, d, "ginza_discourse_modesty")
+    cases = materialize(mojibake.restore(posts, None).select("tbl", "rec_id").distinct(), "cases")
+    return sentences.split(sentences.corpus(posts, captures).join(cases, ["tbl", "rec_id"], "left_anti")).select("tbl", "rec_id", "start_at").distinct()
 
 
 def p4_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d).distinct()
+    return sentences.split(sentences.corpus(table(spark, d, "posts"), table(spark, d, "ginza_discourse_modesty"))).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +62,10 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normal_forms(table(spark, d, "posts"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.classes(table(spark, d, "posts"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -83,7 +91,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_items, p2_annotators, p3_found, p3_split, p4_found, p4_spans, p5_found, p5_forms, p6_ids, p6_text, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_items, p2_plain, p2_annotators, p3_found, p3_split, p3_hashed, p4_found, p4_spans, p5_found, p5_forms, p5_classes, p6_ids, p6_text, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
