@@ -2,12 +2,15 @@
 
 Every item is a (comparison, dimension). An annotator's error is not their observed mean label distance but its upper
 bound: the summed distance over the chi-squared quantile at ``alpha / 2`` for their number of votes. Few votes make the
-bound wide and the vote weak, which keeps the long tail of contributors from deciding items. Truths (shares of the
-choices per item) and bounds are recomputed in turn until the bounds settle.
-
-A vote counts for the log-odds that it speaks for its choice: an annotator of error e answers the truth with 1 - e and
-else by habit, h(choice). The habit comes from the votes that miss the current truths, so one who answers ``tie`` to
-everything gains little weight for ``tie`` although they are often right on ties.
+bound wide and the vote weak, which keeps the long tail of contributors from deciding items. Truths and bounds are
+recomputed in turn until the bounds settle. The truth of an item is the choice of least weighted distance: the sum of the
+weights of the votes for other choices, with 0-1 distance.
+
+With ``habits`` an annotator's weight depends on the choice voted for. It is the log-odds that the vote speaks for its
+choice: an annotator of error e answers the truth with 1 - e and else by habit, h(choice). The habit comes from the votes
+that miss the current truths, so one who answers ``tie`` to everything gains little weight for ``tie`` although they are
+often right on ties; a prior of the choices counts as one more vote. Without, the weight is one over the bound, the same for
+all their votes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.session import materialize, partitions
+from lexispark.session import discard, materialize, partitions
 
 CHOICES = ("left", "right", "tie", "both_bad")
 ABSTAIN = "cannot_judge"
@@ -55,35 +58,76 @@ def _sum(cols):
     return sum(cols[1:], cols[0])
 
 
-def _scored(votes: DataFrame, params: DataFrame, prior: list[float]) -> DataFrame:
-    """votes with p0..p3, the shares of the choices of the vote's item."""
+def _weighted(votes: DataFrame, params: DataFrame, habits: bool) -> DataFrame:
+    """votes with l, the weight of each."""
+    own = F.element_at(F.array(*[f"h{i}" for i in range(len(CHOICES))]), F.col("k") + 1)
+    strength = F.log(((1 - F.col("e")) + F.col("e") * own) / (F.col("e") * own)) if habits else 1 / F.col("e")
+    return votes.join(params, "annotatorid").withColumn("l", strength)
+
+
+def _shares(df: DataFrame, prior: list[float], habits: bool) -> DataFrame:
+    """df with p0..p3, the shares of the choices, of the weights s0..s3."""
     k = range(len(CHOICES))
-    own = F.element_at(F.array(*[f"h{i}" for i in k]), F.col("k") + 1)
-    strength = F.log(((1 - F.col("e")) + F.col("e") * own) / (F.col("e") * own))
-    item = Window.partitionBy(*KEY)
-    sums = {f"s{i}": F.sum(F.when(F.col("k") == i, F.col("l")).otherwise(0.0)).over(item) + F.lit(prior[i]) for i in k}
-    df = votes.join(params, "annotatorid").withColumn("l", strength).withColumns(sums | {"nv": F.count(F.lit(1)).over(item)})
-    df = df.withColumn("top", F.greatest(*[f"s{i}" for i in k]))
+    if not habits:
+        total = _sum([F.col(f"s{i}") for i in k])
+        return df.withColumns({f"p{i}": F.col(f"s{i}") / total for i in k})
+    df = df.withColumns({f"s{i}": F.col(f"s{i}") + F.lit(prior[i]) for i in k}).withColumn("top", F.greatest(*[f"s{i}" for i in k]))
     z = _sum([F.exp(F.col(f"s{i}") - F.col("top")) for i in k])
     return df.withColumns({f"p{i}": F.exp(F.col(f"s{i}") - F.col("top")) / z for i in k})
 
 
-def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float = 0.005, least: int = 3) -> tuple[DataFrame, DataFrame]:
+def _scored(votes: tuple[DataFrame, DataFrame | None], params: DataFrame, prior: list[float], habits: bool) -> DataFrame:
+    """votes (of usual and of crowded items) with p0..p3, the shares of the choices of the vote's item, and nv, its votes."""
+    usual, crowded = votes
+    item = Window.partitionBy(*KEY)
+    mine = [F.when(F.col("k") == i, F.col("l")).otherwise(0.0) for i in range(len(CHOICES))]
+    df = _weighted(usual, params, habits).withColumns({f"s{i}": F.sum(c).over(item) for i, c in enumerate(mine)} | {"nv": F.count(F.lit(1)).over(item)})
+    df = _shares(df, prior, habits)
+    if crowded is None:
+        return df
+    many = _weighted(crowded, params, habits)
+    # pre-aggregated; at most CROWDED items, so the sums may be broadcast
+    sums = many.groupBy(*KEY).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(mine)], F.count(F.lit(1)).alias("nv"))
+    a, b = many.alias("a"), F.broadcast(_shares(sums, prior, habits)).alias("b")
+    met = a.join(b, F.col("a.comparisonid").eqNullSafe(F.col("b.comparisonid")) & F.col("a.dimension").eqNullSafe(F.col("b.dimension")))
+    names = [c for c in df.columns if c not in many.columns]
+    return df.unionByName(met.select(*[f"a.{c}" for c in many.columns], *[f"b.{c}" for c in names]))
+
+
+#: Items with 1/CROWDED of all votes or more, and CROWD votes at least, are summed up before they meet their votes.
+CROWDED, CROWD = 1000, 100_000
+
+
+def _parted(votes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Votes of usual items, exchanged by item once for all rounds, and votes of crowded ones, which stay where they are."""
+    sizes = votes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    bar = max(CROWD, votes.count() / CROWDED)
+    hot = sizes.filter(F.col("n") >= bar).select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    crowded = None
+    if not hot.isEmpty():
+        on = F.col("comparisonid").eqNullSafe(F.col("_comparisonid")) & F.col("dimension").eqNullSafe(F.col("_dimension"))
+        crowded = materialize(votes.join(F.broadcast(hot), on, "left_semi"), "crowded")
+        votes = votes.join(F.broadcast(hot), on, "left_anti")
+    # a persisted table keeps its partitioning, and a lost part is read again from the file
+    return votes.repartition(partitions(votes.sparkSession), *KEY).persist(StorageLevel.MEMORY_AND_DISK), crowded
+
+
+def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float = 0.005, least: int = 3, habits: bool = True) -> tuple[DataFrame, DataFrame]:
     """Consensus per item and reliability per annotator.
 
     Items: comparisonid, dimension, choice, support (share of the choice), agreement (share of the pairs of votes that
     agree), votes; only items with at least ``least`` votes other than abstentions. Equal support goes to the choice
     named first in CHOICES. Annotators: annotatorid, votes, error (its upper bound), weight (log-odds of a vote of
-    average habit), reliability (1 - mean distance to the truths). An empty input gives empty tables.
+    average habit), reliability (1 - mean distance to the truths). ``habits``: see above. An empty input gives empty tables.
     """
     spark, k = prefs.sparkSession, range(len(CHOICES))
     code = F.create_map(*[x for i, c in enumerate(CHOICES) for x in (F.lit(c), F.lit(i))])
     votes = materialize(answers(prefs).filter(F.col("choice") != ABSTAIN).select(*KEY, "annotatorid", code[F.col("choice")].alias("k")), "votes")
-    # one exchange by item for all rounds: a persisted table keeps its partitioning, and a lost part is read again from the file
-    votes = votes.repartition(partitions(spark), *KEY).persist(StorageLevel.MEMORY_AND_DISK)
     params = votes.select("annotatorid").distinct().select(
         "annotatorid", F.lit(0.4).alias("e"), *[F.lit(1.0 / len(CHOICES)).alias(f"h{i}") for i in k], F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("n")
     )
+    votes = _parted(votes)
+    stats = None
     prior, last = [0.0] * len(CHOICES), None
     for _ in range(rounds):
         params, rows = _place(params)
@@ -99,14 +143,16 @@ def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float
             last = now
         if change is not None and change < tol:
             break
-        scored = _scored(votes, params, prior).withColumn("d", 1 - F.element_at(F.array(*[f"p{i}" for i in k]), F.col("k") + 1))
-        stats = materialize(
+        scored = _scored(votes, params, prior, habits).withColumn("d", 1 - F.element_at(F.array(*[f"p{i}" for i in k]), F.col("k") + 1))
+        past, stats = stats, materialize(
             scored.groupBy("annotatorid").agg(
                 F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"),
                 *[F.sum(F.when(F.col("k") == i, F.col("d")).otherwise(0.0)).alias(f"w{i}") for i in k],
                 *[F.sum(F.col(f"p{i}") / F.col("nv")).alias(f"q{i}") for i in k],
             ), "stats",
         )
+        if past is not None:
+            discard(past)
         share = stats.agg(*[F.sum(f"q{i}").alias(f"q{i}") for i in k]).first()
         total = sum(share) or 1.0
         pi = [x / total for x in share]
@@ -115,13 +161,13 @@ def discover(prefs: DataFrame, alpha: float = 0.3, rounds: int = 10, tol: float
         wrong = _sum([F.col(f"w{i}") for i in k])
         habit = [(F.col(f"w{i}") + 1.0) / (wrong + len(CHOICES)) for i in k]
         hit = _sum([h * F.lit(p) for h, p in zip(habit, pi)])
-        error = F.least(F.greatest(miss / F.greatest(1 - hit, F.lit(0.2)), F.lit(0.02)), F.lit(0.97))
+        error = F.least(F.greatest(miss / F.greatest(1 - hit, F.lit(0.2)), F.lit(0.02)), F.lit(0.97)) if habits else F.greatest(miss, F.lit(0.02))
         params = stats.select("annotatorid", error.alias("e"), *[h.alias(f"h{i}") for i, h in enumerate(habit)], "d", "n")
     else:
         params, _ = _place(params)
     best = F.greatest(*[f"p{i}" for i in k])
     pick = F.coalesce(*[F.when(F.col(f"p{i}") == F.col("best"), F.lit(c)) for i, c in enumerate(CHOICES)])
-    by_item = _scored(votes, params, prior).groupBy(*KEY).agg(
+    by_item = _scored(votes, params, prior, habits).groupBy(*KEY).agg(
         *[F.max(f"p{i}").alias(f"p{i}") for i in k], *[F.sum(F.when(F.col("k") == i, 1).otherwise(0)).alias(f"n{i}") for i in k], F.count(F.lit(1)).alias("votes")
     )
     pairs = _sum([F.col(f"n{i}") * (F.col(f"n{i}") - 1) for i in k])

@@ -32,6 +32,10 @@ def candidates(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.jso
     return keep.join(token_counts(texts, tokenizer=tokenizer), "doc_id").filter("tokens > 0")
 
 
+#: More targets than this are refused: their table is broadcast, and one row for each reaches the driver.
+MOST_TARGETS = 100_000
+
+
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: str = "mix", tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -42,7 +46,10 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: st
     max_repeats; rows with a null or non-positive share or repeats give nothing.
     """
     goals = targets.select(tidy_source(F.col("mix_source")).alias("mix_source"), "target_share", F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")).distinct()
-    own = materialize(candidates(docs, tokenizer).join(F.broadcast(goals.filter("target_share > 0 and max_repeats > 0").limit(100_000)), "mix_source"), "candidates")
+    wanted = goals.filter("target_share > 0 and max_repeats > 0")
+    if wanted.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"at most {MOST_TARGETS} targets are possible")
+    own = materialize(candidates(docs, tokenizer).join(F.broadcast(wanted), "mix_source"), "candidates")
     sums = own.groupBy("mix_source").agg(F.sum("tokens").alias("size"), F.first("target_share").alias("share"), F.first("max_repeats").alias("most"))
     rows = sums.collect()  # one row per target
     whole = sum(r["share"] for r in rows)
@@ -52,13 +59,14 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: st
     shuffled = own.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256))
     cum = running_sum(shuffled, ["mix_source"], [F.col("h"), F.col("doc_id")], "tokens", "cum")
     sized = cum.join(F.broadcast(sums.select("mix_source", "size")), "mix_source")
-    uses = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("pass"))
-    timed = materialize(
-        uses.withColumn("finish", (F.col("pass") * F.col("size") + F.col("cum")) / F.col("target_share")).select("finish", "mix_source", "doc_id", "pass", "tokens"), "timed"
+    # how often a text finishes before the cut; only these uses are made, and the next one if the source runs short
+    full = F.floor((F.lit(level * (1 + 1e-12)) * F.col("target_share") - F.col("cum")) / F.col("size")) + 1
+    timed = materialize(sized.withColumn("uses", F.greatest(F.least(full, F.col("max_repeats")), F.lit(0)).cast("int")), "timed")
+    chosen = timed.filter("uses > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("pass")).select(
+        ((F.col("pass") * F.col("size") + F.col("cum")) / F.col("target_share")).alias("finish"), "mix_source", "doc_id", "pass", "tokens"
     )
-    bar = F.lit(level * (1 + 1e-12))
-    chosen = timed.filter(F.col("finish") <= bar)
-    for extra in _top_up(timed.filter(F.col("finish") > bar), chosen, {r["mix_source"]: level * r["share"] for r in rows}):
+    spare = timed.filter("uses < max_repeats").select("mix_source", "doc_id", F.col("uses").alias("pass"), "tokens")
+    for extra in _top_up(spare, chosen, {r["mix_source"]: level * r["share"] for r in rows}):
         chosen = chosen.unionByName(extra.withColumn("finish", F.lit(level)))
     ordered = chosen.orderBy("finish", "mix_source", "doc_id", "pass")
     reached = chosen.groupBy("mix_source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("texts"), F.count(F.lit(1)).alias("uses"))
@@ -71,8 +79,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: st
 
 
 def _top_up(spare: DataFrame, chosen: DataFrame, goal: dict[str, float], rounds: int = 6) -> list[DataFrame]:
-    """Where a long text at the cut leaves a source short, spare uses that fill what is missing: in each round the largest
-    that fits, in the last the one that comes nearest. One row per source and round reaches the driver.
+    """Where a long text at the cut leaves a source short, spare uses (the next of each text) that fill what is missing: in
+    each round the largest that fits, in the last the one that comes nearest. One row per source and round reaches the driver.
     """
     spark = chosen.sparkSession
     have = {r[0]: r[1] for r in chosen.groupBy("mix_source").agg(F.sum("tokens")).collect()}

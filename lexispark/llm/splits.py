@@ -43,12 +43,14 @@ def broken(comparisons: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     return parts.join(torn.select("component"), "component", "left_semi").select("comparisonid")
 
 
-def assign(comparisons: DataFrame, targets: DataFrame, seed: str = "split") -> DataFrame:
+def assign(comparisons: DataFrame, targets: DataFrame, seed: str = "split", balance: bool = True) -> DataFrame:
     """(comparisonid, component, split) with one split per component and shares near ``targets`` (split, target_share).
 
-    Components of at least 1/LARGE of the records, at most LARGE, go to the split with most room left, largest first;
-    the rest go by sha-256 of the component identifier into ranges in proportion to the room that remains. So the same
-    records get the same split on every run. Targets with a null or non-positive share get nothing.
+    With ``balance`` components of at least 1/LARGE of the records, at most LARGE, go to the split with most room left,
+    largest first; the rest go by sha-256 of the component identifier into ranges in proportion to the room that remains. So
+    the same records get the same split on every run. Without it all go by the hash into ranges in proportion to the targets:
+    then new records move no component that they do not join, but one giant component may leave the shares far from the
+    targets. Targets with a null or non-positive share get nothing.
     """
     spark = comparisons.sparkSession
     parts = materialize(components(comparisons), "components")
@@ -59,7 +61,7 @@ def assign(comparisons: DataFrame, targets: DataFrame, seed: str = "split") -> D
     names = sorted(goal)
     room = {s: total * goal[s] / sum(goal.values()) for s in names}
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") >= max(2, total / LARGE)).orderBy(F.desc("n"), "component").collect() if total else []
+    large = sizes.filter(F.col("n") >= max(2, total / LARGE)).orderBy(F.desc("n"), "component").collect() if total and balance else []
     placed = {}
     for r in large:
         best = max(names, key=lambda s: room[s])

@@ -94,9 +94,13 @@ def pieces(spark, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFra
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """(key, text) from (key, ids) by a join with the pieces. No ids give the empty text; unknown ids raise nothing and give nothing."""
+    """(key, text) of each distinct (key, ids) by a join with the pieces. No ids, or null, give the empty text; unknown ids
+    raise nothing and give nothing. Rows of one key with different ids, and rows of a null key, stay apart.
+    """
     vocab = F.broadcast(pieces(encoded.sparkSession, tokenizer))  # its size is fixed by the vocabulary
-    flat = encoded.select(key, F.posexplode_outer("ids").alias("pos", "id")).join(vocab, "id", "left")
-    hexes = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))
+    rows = encoded.select(F.col(key), F.xxhash64(F.coalesce("ids", F.array().cast("array<int>"))).alias("__fp"), "ids")
+    flat = rows.select(key, "__fp", F.posexplode_outer("ids").alias("pos", "id")).join(vocab, "id", "left")
+    # a set: a row that came twice gives each position twice
+    hexes = flat.groupBy(key, "__fp").agg(F.array_sort(F.collect_set(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))
     joined = F.concat_ws("", F.transform("p", lambda x: F.coalesce(x["h"], F.lit(""))))
     return hexes.select(key, F.decode(F.unhex(joined), "UTF-8").alias("text"))

@@ -101,3 +101,29 @@ def test_large_pools_stop_by_the_same_rule(spark, monkeypatch):
     small = run()
     monkeypatch.setattr(labels, "POOL_LIMIT", 3)
     assert run() == small
+    # nor does it matter whether an item's votes are summed up before they meet
+    monkeypatch.setattr(labels, "CROWD", 5)
+    monkeypatch.setattr(labels, "CROWDED", 10**9)
+    assert run() == small
+
+
+def test_plain_weights(spark):
+    """Without habits the truth is the choice of least weighted distance: two strangers outvote a third, but not one whose votes
+    on other items were always right.
+    """
+    rows = [("c", a, "S", ch, 1) for a, ch in (("a", "right"), ("b", "right"), ("d", "left"))]
+    few = labels.discover(prefs(spark, rows), rounds=3, habits=False)[0].first()
+    more = labels.discover(prefs(spark, rows + [(f"x{i}", "d", "S", "tie", 1) for i in range(6)]), rounds=3, habits=False)[0].first()
+    assert few.choice == "right" and 0.5 < few.support <= 1 and more.choice == "left"
+
+
+def test_pure_hash_ranges_move_nothing(spark):
+    """Without balance a component keeps its split when unrelated records come in."""
+    t = spark.createDataFrame([("train", 0.7, 1), ("validation", 0.2, 1), ("test", 0.1, 1)], "split string, target_share double, n int")
+    rows = [(str(i), f"a{i // 2}", None, f"s{i}", None, None) for i in range(600)]
+    more = rows + [(f"n{i}", "giant", None, f"z{i}", None, None) for i in range(600)]
+    small = {r.comparisonid: r.split for r in splits.assign(comps(spark, rows), t, balance=False).collect()}
+    large = {r.comparisonid: r.split for r in splits.assign(comps(spark, more), t, balance=False).collect()}
+    assert all(large[c] == s for c, s in small.items())
+    n = Counter(small.values())
+    assert abs(n["train"] / 600 - 0.7) < 0.08

@@ -71,3 +71,11 @@ def test_mix_of_nothing(spark):
     t = spark.createDataFrame(TARGETS, "mix_source string, target_share double, max_repeats int")
     m, report = mixing.mix(df, t)
     assert m.count() == 0 and {r.reached_share for r in report.collect()} == {0.0}
+
+
+def test_decode_keeps_rows_apart(spark):
+    """Different texts of one key, and of a null key, come back as they were; rows that came twice come once."""
+    rows = [(1, "hello"), (1, "world"), (1, "world"), (None, "x"), (None, "y"), (2, ""), (3, None), (3, "naïve 倉庫")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in tokens.decode(tokens.encode(d)).collect()), key=str)
+    assert got == sorted({(i, t or "") for i, t in rows}, key=str)
