@@ -30,23 +30,32 @@ def entity_edges(df: DataFrame, node: str, entities: list) -> DataFrame:
 
 def _minima(edges: DataFrame) -> DataFrame:
     """(u, m, size): the least of each node and its neighbours, and its degree."""
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "minima")
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The star of every node's larger neighbours around the least node near it, and a table to discard when it was read.
-    Centres of many edges meet their minimum by broadcast.
+def _meet(edges: DataFrame, hub: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the minimum m of their node u, and the minima. With a ``hub`` centres of many edges meet theirs by
+    broadcast, for which the minima are written first.
     """
+    if not hub:
+        least = _minima(edges)
+        return edges.join(least.drop("size"), "u"), least
+    least = materialize(_minima(edges), "minima")
+    return lookup_join(edges, least, "u", "size"), least
+
+
+def _large_star(edges: DataFrame, hub: bool) -> tuple[DataFrame, DataFrame]:
+    """The star of every node's larger neighbours around the least node near it, and a table to discard when it was read."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = _minima(both)
-    return lookup_join(both, least, "u", "size").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
+    met, least = _meet(both, hub)
+    return met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, hub: bool) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = _minima(down)
+    met, least = _meet(down, hub)
     return (
-        lookup_join(down, least, "u", "size").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        met.select(F.col("v").alias("a"), F.col("m").alias("b"))
         .unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         .filter("a <> b").distinct()
     ), least
@@ -58,6 +67,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
+#: Edges at one node from which on it is looked at more closely whether it is hot.
+HUB = 2000
+
+
+def _has_hub(edges: DataFrame) -> bool:
+    ends = edges.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return (ends.agg(F.max("n")).first()[0] or 0) >= HUB
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the least node joined to it.
 
@@ -72,9 +90,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        large, used = _large_star(now)
-        wide = materialize(large, "cc")
-        small, more = _small_star(wide)
+        hub = _has_hub(now)
+        large, used = _large_star(now, hub)
+        # between the stars only a hub's minima, which are looked at first, make a table worth its while
+        wide = materialize(large, "cc") if hub else large
+        small, more = _small_star(wide, hub)
         before, now = now, materialize(small, "cc")
         for t in (used, wide, more, before):
             discard(t)

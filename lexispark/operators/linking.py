@@ -50,12 +50,9 @@ def shingles(docs: DataFrame, key: str, column: str, words: int = 5) -> DataFram
     return docs.select(key, w.alias("w")).select(key, grams.when(n > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>")).alias("sh"))
 
 
-def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates by Jaccard similarity of word shingles, exactly and without comparing all pairs.
-
-    Members: (key, class_key, class_id, links): every document, the class of equal shingle sets it belongs to (its least
-    key), the component of similar classes, and to how many classes its class is linked. Pairs: (a, b, jaccard) between
-    class keys. Documents without shingles (null, empty, only marks) are classes of their own and have no links.
+def similar_classes(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, fp) of every document, (fp, class_key) of the classes of equal shingle sets, named by their least key, and the pairs
+    (a, b, jaccard) of classes whose sets are similar, exactly and without comparing all pairs.
 
     Classes of equal sets are formed first, so that copies make no pairs. Two sets of similarity t share a shingle among
     the first n - ceil(t n) + 1 of each when shingles are ordered from rare to frequent over the whole corpus; only those
@@ -81,11 +78,21 @@ def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float =
     pa, pb = reps.select(F.col("class_key").alias("a"), F.col("sh").alias("sa")), reps.select(F.col("class_key").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     pairs = cand.join(pa, "a").join(pb, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= similarity - 1e-9).select("a", "b", "jaccard")
-    pairs = materialize(pairs, "pairs")
+    return ids.select(key, "fp"), classes, materialize(pairs, "pairs")
+
+
+def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates by Jaccard similarity of word shingles; see similar_classes.
+
+    Members: (key, class_key, class_id, links): every document, the class of equal shingle sets it belongs to (its least
+    key), the component of similar classes, and to how many classes its class is linked. Pairs: (a, b, jaccard) between
+    class keys. Documents without shingles (null, empty, only marks) are classes of their own and have no links.
+    """
+    ids, classes, pairs = similar_classes(docs, key, column, similarity, words)
     comps = connected_components(pairs.select("a", "b"))
     links = pairs.select("a").unionAll(pairs.select("b")).groupBy(F.col("a").alias("class_key")).agg(F.count(F.lit(1)).alias("links"))
     members = (
-        ids.select(key, "fp").join(classes, "fp").drop("fp")
+        ids.join(classes, "fp").drop("fp")
         .join(comps.select(F.col("node").alias("class_key"), "component"), "class_key", "left").join(links, "class_key", "left")
         .select(key, "class_key", F.coalesce("component", "class_key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     )
@@ -113,3 +120,25 @@ def length_matched(probes: DataFrame, pool: DataFrame, low: float = 0.5, high: f
     near = probes.join(per, (F.col("m") >= F.col("n") * low) & (F.col("m") <= F.col("n") * high))
     one = near.select("probe_id", "n", "m", F.explode("ids").alias("pool_id")).filter("probe_id <> pool_id")
     return one.groupBy("probe_id").agg(F.min_by("pool_id", F.struct(F.abs(F.col("m") - F.col("n")), F.col("pool_id"))).alias("pool_id"))
+
+
+def quote_status(forms: DataFrame, hay: DataFrame, short: int = 5) -> DataFrame:
+    """(line, candidates, selected, status, id) of each quote, from its normal forms (line, post_id, text) and posts (id, text).
+
+    Candidates are posts that hold a form. If the recorded post is among them it alone is selected, else all are. A quote is matched if one post is selected
+    and, where some form has fewer than ``short`` characters, that is the recorded one; else ambiguous, or unmatched without
+    candidates. id is the post of a matched quote. Forms of any length are found: long ones by grams of six characters, shorter ones by shorter grams.
+    """
+    needles = forms.select("line", "text").distinct().withColumn("quote", F.concat_ws("|", F.col("line").cast("string"), F.sha2("text", 256)))
+    found = None
+    for low, high in ((6, None), (2, 6), (1, 2)):
+        some = needles.filter((F.length("text") >= low) & (F.lit(True) if high is None else F.length("text") < high))
+        hits = containment(some.select("quote", "text"), hay, "quote", "id", low)
+        found = hits if found is None else found.unionByName(hits)
+    recorded = forms.groupBy("line").agg(F.collect_set("post_id").alias("posts"), F.bool_or(F.length("text") < short).alias("short"))
+    c = found.join(needles.select("quote", "line"), "quote").select("line", "id").distinct().join(recorded, "line").withColumn("near", F.array_contains("posts", F.col("id")))
+    per = c.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("c"), F.min(F.when(F.col("near"), F.col("id"))).alias("ni"), F.min("id").alias("ai"))
+    j = recorded.join(per, "line", "left").withColumn("selected", F.when(F.col("c") > 0, F.col("c")).otherwise(F.coalesce("n", F.lit(0))))
+    sure = F.coalesce((F.col("selected") == 1) & (~F.col("short") | (F.col("c") > 0)), F.lit(False))
+    status = F.when(F.col("n").isNull(), "unmatched").when(sure, "matched").otherwise("ambiguous")
+    return j.select("line", F.coalesce("n", F.lit(0)).alias("candidates"), "selected", status.alias("status"), F.when(sure, F.coalesce("ni", "ai")).alias("id"))

@@ -17,10 +17,9 @@ def hot_rows(lookup: DataFrame, weight: str, share: int = HOT_SHARE, least: int
 
     By construction at most ``share`` rows qualify, so the result may be broadcast. None if there are none.
     """
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
-    bar = max(least, total / share)
-    hot = lookup.filter(F.col(weight) >= bar)
-    return None if hot.isEmpty() else hot
+    total, most = lookup.agg(F.sum(weight), F.max(weight)).first()
+    bar = max(least, (total or 0) / share)
+    return lookup.filter(F.col(weight) >= bar) if (most or 0) >= bar else None
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = HOT_SHARE) -> DataFrame:

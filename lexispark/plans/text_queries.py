@@ -401,7 +401,7 @@ pairs AS (SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM cand WHERE c
 
 @query(f"WITH {_SH} SELECT a, b, jaccard::DOUBLE AS jaccard FROM pairs")
 def near_dup_pairs(s, d):
-    return L.near_duplicates(docs(s, d), "doc_id", "text")[1].select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return L.similar_classes(docs(s, d), "doc_id", "text")[2].select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 _COMP = f"""WITH RECURSIVE {_SH}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.node), comp AS (SELECT node, min(r) AS c FROM reach GROUP BY 1),
