@@ -6,6 +6,8 @@ applyInPandas; a document's tokens are bounded by its analysis.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,66 @@ def sentences(cases_: DataFrame) -> DataFrame:
     return cases_.select("case_id", F.explode("analysis.sentences").alias("s")).select("case_id", "s.start", "s.end")
 
 
+def simple_analyser():
+    """An analyser for analyse(): runs of letters and digits are words, other characters marks; every token heads itself."""
+    rx = re.compile(r"[^\W_]+|\S")
+
+    def run(text: str) -> list[dict]:
+        return [{"id": i, "text": m[0], "pos": "WORD" if m[0].isalnum() else "MARK", "head": i, "start": m.start(), "end": m.end()} for i, m in enumerate(rx.finditer(text))]
+
+    return run
+
+
+def analyse(texts: DataFrame, key: str, column: str, load=simple_analyser) -> DataFrame:
+    """(key, id, text, pos, head, start, end): the tokens that an analyser gives for each text. ``load`` makes the analyser, a function from
+    a text to token records; it is called once per task, so a language model is loaded once. Null texts have no tokens.
+    """
+    kind = dict(texts.dtypes)[key]
+    names = [key, "id", "text", "pos", "head", "start", "end"]
+
+    def run(batches):
+        analyser = load()
+        for b in batches:
+            rows = [(k, *[t[n] for n in names[1:]]) for k, text in zip(b[key], b[column]) for t in analyser(text)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.filter(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"{key} {kind}, id int, text string, pos string, head int, start int, end int")
+
+
+def relations(facts_: DataFrame, toks: DataFrame) -> DataFrame:
+    """(case_id, type, from, to) between propositions (case_id, predicate, parent, conditional, reported) and their parents, by the tokens
+    that depend on the predicate: reported_by, conditional_on, explicit_cause and contrast. Nearness alone makes no relation.
+    """
+    marks = toks.filter("dep in ('mark', 'fixed', 'aux')").groupBy("case_id", F.col("head").alias("predicate")).agg(F.collect_set("text").alias("marks"))
+    p = facts_.filter("parent is not null").select("case_id", "predicate", "parent", "conditional", "reported").join(marks, ["case_id", "predicate"], "left")
+    has = lambda *w: F.coalesce(F.arrays_overlap("marks", F.array(*[F.lit(x) for x in w])), F.lit(False))
+    kind = F.when(F.col("reported"), "reported_by").when(F.col("conditional"), "conditional_on").when(has("ので", "から"), "explicit_cause").when(has("が", "けれど", "けど", "のに"), "contrast")
+    r = p.withColumn("type", kind).filter("type is not null")
+    back = F.col("type") == "conditional_on"
+    return r.select("case_id", "type", F.when(back, F.col("parent")).otherwise(F.col("predicate")).alias("from"), F.when(back, F.col("predicate")).otherwise(F.col("parent")).alias("to"))
+
+
+def assertive(scopes: DataFrame, toks: DataFrame) -> DataFrame:
+    """(case_id, id, scopes, assertive): of each token how many propositions own it, by membership and not by extent, and whether it is
+    in exactly one that is asserted: not negated by a condition, report or doubt.
+    """
+    own = scopes.select("case_id", F.explode("tokens").alias("id"), (~(F.col("conditional") | F.col("speculative") | F.col("reported") | F.col("under_condition"))).alias("free"))
+    n = own.groupBy("case_id", "id").agg(F.count(F.lit(1)).alias("scopes"), F.bool_and("free").alias("free"))
+    return toks.select("case_id", "id").join(n, ["case_id", "id"], "left").select("case_id", "id", F.coalesce("scopes", F.lit(0)).alias("scopes"), F.coalesce((F.col("scopes") == 1) & F.col("free"), F.lit(False)).alias("assertive"))
+
+
+def focus_spans(cases_: DataFrame) -> DataFrame:
+    """(case_id, kind, start, end): the first recorded sentence is adopted, what lies before and after it is omitted; a case without sentences
+    is omitted whole.
+    """
+    first = F.array_min(F.transform("analysis.sentences", lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"))))
+    x = cases_.select("case_id", F.length("source").alias("n"), first.alias("f"))
+    span = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    parts = F.when(F.col("f").isNull(), F.array(span("omitted", F.lit(0), F.col("n")))).otherwise(
+        F.array(span("adopted", F.col("f.start"), F.col("f.end")), span("omitted", F.lit(0), F.col("f.start")), span("omitted", F.col("f.end"), F.col("n"))))
+    return x.select("case_id", F.explode(parts).alias("p")).select("case_id", "p.*").filter("start < end")
+
+
 def validate(cases_: DataFrame) -> DataFrame:
     """(case_id, tokens, misplaced, bad_heads): how many offsets do not slice back to the token, how many heads are out of range."""
     t = cases_.select("case_id", "source", F.size("analysis.tokens").alias("n"), F.explode("analysis.tokens").alias("t"))

@@ -5,8 +5,10 @@ Random choices of a generator become hash orders, so a draw depends on its seed
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def evidenced(templates: DataFrame, texts: DataFrame, column: str, by: str | None = None) -> DataFrame:
@@ -66,9 +68,7 @@ def chunked(rows: DataFrame, group: list[str], order: list[str], size: str, most
     """rows with chunk, from 0: within each group, in order, a row goes to the current chunk if it still fits into ``most``, else it
     begins the next. The fold is sequential, so a group is in one task; groups are files of bounded size.
     """
-    import pandas as pd
-
-    fields = rows.schema.add("chunk", "int")
+    fields = StructType([*rows.schema.fields, StructField("chunk", IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

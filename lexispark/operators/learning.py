@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.session import materialize
+
 
 def clip_standardise(df: DataFrame, columns: list[str], upper: float = 0.99) -> DataFrame:
     """Each column cut at its upper percentile, then mean 0 and population deviation 1 (a constant column becomes 0)."""
@@ -42,6 +44,35 @@ def cluster_trials(df: DataFrame, columns: list[str], ks: range = range(2, 6), s
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 
+def truncated_svd(weights: DataFrame, key: str, term: str, weight: str, k: int, buckets: int = 1 << 12) -> DataFrame:
+    """(key, vector array<double>): each row's sparse vector (key, term, weight) on its k leading singular directions, of length 1. Terms
+    share ``buckets`` by hash, which bounds the matrix that reaches the driver to buckets squared.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    b = weights.groupBy(key, F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("i")).agg(F.sum(weight).alias("w"))
+    rows = materialize(b.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("z")), "rows")  # read by every iteration
+    spark = weights.sparkSession
+    if rows.isEmpty():
+        return spark.createDataFrame([], f"{key} {dict(weights.dtypes)[key]}, vector array<double>")
+    v = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(buckets, [(x["i"], x["w"]) for x in r["z"]]))).computeSVD(k, computeU=False).V
+    basis = spark.sparkContext.broadcast(v.toArray())
+
+    def project(batches):
+        import numpy as np
+        import pandas as pd
+
+        for p in batches:
+            out = []
+            for z in p["z"]:
+                y = sum((basis.value[x["i"]] * x["w"] for x in z), np.zeros(basis.value.shape[1]))
+                out.append(y / (np.linalg.norm(y) or 1.0))
+            yield pd.DataFrame({key: p[key], "vector": out})
+
+    return rows.mapInPandas(project, f"{key} {dict(weights.dtypes)[key]}, vector array<double>")
+
+
 def clusters(df: DataFrame, key: str, columns: list[str], k: int, seed: int = 7) -> DataFrame:
     """(key, cluster)."""
     v = _vectors(df, columns)

@@ -9,25 +9,46 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 
-def decode_bytes(c: Column, charset: str) -> Column:
-    """Bytes in a declared charset; bytes that don't fit become U+FFFD. Spark's own decode knows few charsets."""
+def decode_bytes(c: Column, charset: str, reject: bool = False) -> Column:
+    """Bytes in a declared charset; bytes that don't fit become U+FFFD or, with ``reject``, make the whole text null. Spark's own
+    decode knows few charsets.
+    """
+
+    def one(b) -> str | None:
+        try:
+            return None if b is None else bytes(b).decode(charset, "strict" if reject else "replace")
+        except UnicodeError:
+            return None
 
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+        return s.map(one)
+
+    return run(c)
+
+
+def encode_text(c: Column, charset: str) -> Column:
+    """Bytes of a text in a charset; characters that it lacks become question marks."""
+
+    @F.pandas_udf(BinaryType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else t.encode(charset, "replace"))
 
     return run(c)
 
 
-def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8", max_bytes: int | None = None) -> DataFrame:
     """(path, line, text): lines of text files from 1, without byte order mark and carriage returns; a last empty line counts.
 
-    Plain and gzip files, of any charset that Python knows.
+    Plain and gzip files, of any charset that Python knows. A file of more than ``max_bytes`` as stored is an error: a file is read as one row.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("value"))
+    files = spark.read.text(path, wholetext=True)
+    if max_bytes is not None and not files.filter(F.col("_metadata.file_size") > max_bytes).isEmpty():
+        raise ValueError(f"a file is larger than {max_bytes} bytes")
+    raw = files.select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("value"))
     text = F.col("value").cast("string") if charset.upper() in ("UTF-8", "UTF8") else decode_bytes(F.col("value"), charset)
     clean = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     return raw.select("path", F.posexplode(F.split(clean, "\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")

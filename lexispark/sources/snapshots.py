@@ -49,21 +49,38 @@ def publish(tables: dict[str, DataFrame], root: str) -> str:
     return ident
 
 
+def published(spark: SparkSession, root: str) -> list[str]:
+    """The ids of all published datasets, in order; the active one can be any of them."""
+    fs, p = _fs(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith("dataset="))
+
+
 def activate(spark: SparkSession, root: str, ident: str) -> None:
     """Point the root at a published dataset, by rename of a small file; also the way back to an older one."""
     fs, final = _fs(spark, f"{root}/dataset={ident}")
     if not fs.exists(final):
         raise FileNotFoundError(ident)
+    # a pointer of its own for each activation: readers take the newest, so there is no moment without one
+    turn = max(_turns(spark, root), default=0) + 1
     spark.createDataFrame([(ident,)], "ident string").coalesce(1).write.mode("overwrite").text(f"{root}/_active.new")
-    _, new = _fs(spark, f"{root}/_active.new")
-    _, old = _fs(spark, f"{root}/_active")
-    fs.delete(old, True)
-    fs.rename(new, old)
+    if not fs.rename(_fs(spark, f"{root}/_active.new")[1], _fs(spark, f"{root}/_active-{turn:09}")[1]):
+        raise RuntimeError("the pointer could not be moved into its place")
+
+
+def _turns(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("-", 1)[1]) for n in names if n.startswith("_active-"))
 
 
 def load(spark: SparkSession, root: str, ident: str | None = None) -> dict[str, DataFrame]:
     """The tables of a dataset (default: the active one), after their digests were checked against the manifest."""
-    ident = ident or spark.read.text(f"{root}/_active").first()[0]
+    if ident is None:
+        turns = _turns(spark, root)
+        if not turns:
+            raise FileNotFoundError("no dataset is active")
+        ident = spark.read.text(f"{root}/_active-{turns[-1]:09}").first()[0]
     base = f"{root}/dataset={ident}"
     manifest = json.loads(spark.read.text(f"{base}/manifest").first()[0])
     out = {}
