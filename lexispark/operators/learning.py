@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -44,25 +46,29 @@ def cluster_trials(df: DataFrame, columns: list[str], ks: range = range(2, 6), s
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 
-def truncated_svd(weights: DataFrame, key: str, term: str, weight: str, k: int, buckets: int = 1 << 12) -> DataFrame:
+def truncated_svd(weights: DataFrame, key: str, term: str, weight: str, k: int, buckets: int = 1 << 8) -> DataFrame:
     """(key, vector array<double>): each row's sparse vector (key, term, weight) on its k leading singular directions, of length 1. Terms
     share ``buckets`` by hash, which bounds the matrix that reaches the driver to buckets squared.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     b = weights.groupBy(key, F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("i")).agg(F.sum(weight).alias("w"))
-    rows = materialize(b.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("z")), "rows")  # read by every iteration
-    spark = weights.sparkSession
-    if rows.isEmpty():
-        return spark.createDataFrame([], f"{key} {dict(weights.dtypes)[key]}, vector array<double>")
-    v = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(buckets, [(x["i"], x["w"]) for x in r["z"]]))).computeSVD(k, computeU=False).V
-    basis = spark.sparkContext.broadcast(v.toArray())
+    rows = materialize(b.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("z")), "rows")
 
-    def project(batches):
-        import numpy as np
-        import pandas as pd
+    def products(batches):
+        """Each task's sum of the products of its rows with themselves."""
+        total = np.zeros((buckets, buckets))
+        for p in batches:
+            for z in p["z"]:
+                i, w = np.array([x["i"] for x in z]), np.array([x["w"] for x in z])
+                total[np.ix_(i, i)] += np.outer(w, w)
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
+
+    cells = rows.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    gram = np.zeros((buckets, buckets))
+    gram[cells["i"], cells["j"]] = cells["v"]
+    basis = weights.sparkSession.sparkContext.broadcast(np.linalg.eigh(gram)[1][:, ::-1][:, :k])  # its eigenvectors, largest first
 
+    def project(batches):
         for p in batches:
             out = []
             for z in p["z"]:

@@ -207,25 +207,22 @@ _NB = "nb AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS hit, r
 
 
 def dense_neighbours(s, d) -> DataFrame:
-    """Queries are a stated fiftieth of the rows, met by all rows in blocks: each task compares its rows with a block of queries."""
+    """(query_id, vec_id, hit, sim, rank): the ten nearest of every 50th vector."""
     e = table(s, d, "embeddings")
     asks = e.filter(F.col("vec_id") % 50 == 0)
-    n = max(1, -(-asks.count() // 500))  # so that a block holds about 500 queries at any size
-    blocks = asks.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))).alias("qs"))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    j = rows.join(blocks, "block").select("vec_id", "embedding", "label", F.explode("qs").alias("q")).filter("vec_id <> q.query_id")
-    return j.select("q.query_id", "vec_id", (F.col("label") == F.col("q.ql")).alias("hit"), F.round(V.dense_cosine(F.col("embedding"), F.col("q.qe")), 6).alias("sim"))
+    near = V.dense_top_k(e, asks, "vec_id", "embedding", 10, ["label"])
+    own = asks.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    return near.join(own, "query_id").withColumn("hit", F.col("label") == F.col("ql"))
 
 
 @query(f"WITH {_NB} SELECT query_id, vec_id, sim::DOUBLE AS sim, rank::INTEGER AS rank FROM rk WHERE rank <= 10")
 def embedding_topk(s, d):
-    return V.top_k(dense_neighbours(s, d), ["query_id"], [F.desc("sim"), "vec_id"], 10).select("query_id", "vec_id", "sim", "rank")
+    return dense_neighbours(s, d).select("query_id", "vec_id", "sim", "rank")
 
 
 @query(f"WITH {_NB}, p AS (SELECT query_id, coalesce(max(CASE WHEN hit THEN 1.0 / rank END), 0) AS rr FROM rk WHERE rank <= 10 GROUP BY 1) SELECT round(avg(rr), 6)::DOUBLE AS mrr FROM p")
 def embedding_mrr(s, d):
-    top = V.top_k(dense_neighbours(s, d), ["query_id"], [F.desc("sim"), "vec_id"], 10)
-    return E.reciprocal_rank(top, "query_id", "hit", "rank").select(F.round("mrr", 6).alias("mrr"))
+    return E.reciprocal_rank(dense_neighbours(s, d), "query_id", "hit", "rank").select(F.round("mrr", 6).alias("mrr"))
 
 
 @query("WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1) SELECT label, i::INTEGER AS i, round(m / norm, 5)::DOUBLE AS weight FROM m JOIN n USING (label)")

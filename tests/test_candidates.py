@@ -187,10 +187,28 @@ def test_singular_vectors_against_numpy(spark):
     rng = np.random.default_rng(1)
     a = np.abs(rng.normal(size=(12, 5)))
     w = spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(12) for j in range(5)], "k int, term string, w double")
-    got = {r.k: np.array(r.vector) for r in M.truncated_svd(w, "k", "term", "w", 2, 1 << 12).collect()}
+    got = {r.k: np.array(r.vector) for r in M.truncated_svd(w, "k", "term", "w", 2, 1 << 10).collect()}
     u, s, _ = np.linalg.svd(a, full_matrices=False)
     want = u[:, :2] * s[:2]
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     sim = np.array([[got[i] @ got[j] for j in range(12)] for i in range(12)])
     assert np.allclose(sim, want @ want.T, atol=1e-6)
     assert M.truncated_svd(w.limit(0), "k", "term", "w", 2).count() == 0
+
+
+def test_dense_top_k_against_all_pairs(spark):
+    """Ties, copies, null and zero vectors, several blocks of queries, several batches."""
+    from lexispark.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    v = [[float(x) for x in rng.integers(-2, 3, 4)] for _ in range(60)] + [[1.0, 1.0, 0.0, 0.0]] * 15
+    rows = [(i, x, f"l{i % 3}") for i, x in enumerate(v)] + [(100, None, "n"), (101, [0.0] * 4, "z")]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>, l string")
+    got = {}
+    for r in V.dense_top_k(df.repartition(5), df.filter("k % 5 = 0"), "k", "v", 4, ["l"], block=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.k, r.sim, r.l))
+    u = {i: np.array(x) / np.linalg.norm(x) for i, x, _ in rows if x and any(x)}
+    for q in [i for i in u if i % 5 == 0]:
+        want = sorted(((-round(float(u[q] @ u[i]), 6) + 0.0, i) for i in u if i != q))[:4]
+        assert [(i, round(-s, 6) + 0.0) for s, i in want] == [(i, s) for i, s, _ in got[q]]
+    assert 100 not in got and 101 not in got and V.dense_top_k(df, df.limit(0), "k", "v", 4).count() == 0
