@@ -220,6 +220,14 @@ def compare_facts(a: DataFrame, b: DataFrame, key: list[str], fields: list[str])
     return j.groupBy(*key).agg(F.when(F.count("x") != F.count("y"), "unknown").when(F.bool_and(F.col("x") == F.col("y")), "pass").otherwise("fail").alias("status"))
 
 
+def compare_analyses(a: DataFrame, b: DataFrame, key: str, checks: list[str]) -> DataFrame:
+    """(key, code, status): for each key of both tables and each check, pass if the two values are equal, fail if not, unknown if one is null."""
+    x, y = a.select(key, F.struct(*checks).alias("x")), b.select(key, F.struct(*checks).alias("y"))
+    status = lambda k: F.when(F.col("x")[k].isNull() | F.col("y")[k].isNull(), "unknown").when(F.col("x")[k] == F.col("y")[k], "pass").otherwise("fail")
+    rows = F.array(*[F.struct(F.lit(k).alias("code"), status(k).alias("status")) for k in checks])
+    return x.join(y, key).select(key, F.explode(rows).alias("r")).select(key, "r.*")
+
+
 def line_ledger(sections: DataFrame) -> DataFrame:
     """(line, category, post, gap): every line once, with the last known post and the distance to the line before that has text.
 

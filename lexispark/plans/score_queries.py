@@ -193,9 +193,34 @@ def name_distances(s, d):
 
 
 # Diversity text, kana
-@query()
+_KATA = "".join(chr(x) for x in range(0x30A1, 0x30F7))
+
+
+@query("SELECT doc_id, sha256(translate(text, '" + _KATA + "', '" + "".join(chr(ord(x) - 0x60) for x in _KATA) + "')) AS folded FROM documents WHERE text IS NOT NULL")
 def kana_forms(s, d):
-    return docs(s, d).select("doc_id", F.sha2(K.fold_kana(F.col("text")), 256).alias("folded"), F.sha2(K.diversity_text(F.col("text")), 256).alias("diversity"))
+    return docs(s, d).select("doc_id", F.sha2(K.fold_kana(F.col("text")), 256).alias("folded"))
+
+
+@query()
+def diversity_forms(s, d):
+    return docs(s, d).select("doc_id", F.sha2(K.diversity_text(F.col("text")), 256).alias("diversity"))
+
+
+# Two analysed texts compared, each case with the next
+_IR = f"""{_CAP}, ir AS (SELECT c.case_id, list_sort(regexp_extract_all(source, '[0-9]+')) AS quantity, len(regexp_extract_all(source, '{K.NEGATION}')) % 2 AS polarity, regexp_matches(source, '{K.DONE}') AS temporal, list_sort(regexp_extract_all(source, '「[^」]*」')) AS attribution, (SELECT list_sort(list(DISTINCT text)) FROM tk WHERE tk.case_id = c.case_id AND pos = 'NOUN') AS roles, len(analysis.tokens) AS size FROM c WHERE source IS NOT NULL)"""
+
+
+@query(f"WITH {_IR}, p AS (SELECT a.case_id, a AS x, b AS y FROM ir a JOIN ir b ON b.case_id = a.case_id + 1) " + " UNION ALL ".join(f"SELECT case_id, '{k}' AS code, CASE WHEN x.{k} IS NULL OR y.{k} IS NULL THEN 'unknown' WHEN x.{k} = y.{k} THEN 'pass' ELSE 'fail' END AS status FROM p" for k in ("quantity", "polarity", "temporal", "attribution", "roles", "size")))
+def ir_comparison(s, d):
+    """Six checks between the analyses of each case and the next; what a side does not tell is unknown, and only for that check."""
+    c = materialize(C.cases(table(s, d, "ginza_discourse_modesty")), "cases")
+    found = lambda p: F.array_sort(F.regexp_extract_all("source", F.lit(p), F.lit(0)))
+    nouns = C.tokens(c).filter("pos = 'NOUN'").groupBy("case_id").agg(F.array_sort(F.collect_set("text")).alias("roles"))
+    ir = c.filter("source is not null").join(nouns, "case_id", "left").select(
+        "case_id", found("[0-9]+").alias("quantity"), (F.regexp_count("source", F.lit(K.NEGATION)) % 2).alias("polarity"), F.col("source").rlike(K.DONE).alias("temporal"),
+        found("「[^」]*」").alias("attribution"), "roles", F.size("analysis.tokens").alias("size"),
+    )
+    return C.compare_analyses(ir, ir.withColumn("case_id", F.col("case_id") - 1), "case_id", ["quantity", "polarity", "temporal", "attribution", "roles", "size"])
 
 
 # Output offsets
