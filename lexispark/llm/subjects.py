@@ -345,7 +345,7 @@ def _refitter(models, bars: np.ndarray, k: int):
 
 
 STEP, STEPS = 0.25, 40_000  # nats; of the histograms of evidence
-LIKE_ALL = 20.0  # labels, spread as those of all subjects, that are added to those of each subject
+LIKE_ALL = 100.0  # labels, spread as those of all subjects, that are added to those of each subject
 
 
 def _thresholds(scored: DataFrame, subjects: int) -> np.ndarray:
