@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
 from lexispark.operators.graph import connected_components
 from lexispark.operators.skew import lookup_join
-from lexispark.session import materialize
+from lexispark.session import discard, materialize
 
 #: Words of a shingle text: characters of scripts without blanks, else runs of letters and digits.
 WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}]]+"
@@ -47,7 +50,53 @@ def shingles(docs: DataFrame, key: str, column: str, words: int = 5) -> DataFram
     w = F.regexp_extract_all(F.lower(F.col(column)), F.lit(WORD), F.lit(0))
     n = F.size("w")
     grams = F.when(n >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))))
-    return docs.select(key, w.alias("w")).select(key, grams.when(n > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>")).alias("sh"))
+    # exploded from an array of one: the optimizer must not put the cutting of a text into each use of its words
+    return docs.select(key, F.explode(F.array(w)).alias("w")).select(key, grams.when(n > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>")).alias("sh"))
+
+
+#: Counters of shingles by hash; two that share one only come later in the order.
+BUCKETS = 1 << 21
+
+
+def _bucket_counts(hashes: DataFrame) -> np.ndarray:
+    """How many of the hashes (hs array<bigint>) of all rows fall on each of BUCKETS counters."""
+    step = BUCKETS // 32
+
+    def count(batches):
+        n = np.zeros(BUCKETS, np.int32)
+        for b in batches:
+            np.add.at(n, b.column("hs").flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1), 1)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(32), pa.int32()), "n": pa.array([n[i * step : (i + 1) * step].tobytes() for i in range(32)], pa.binary())})
+
+    def total(p: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in p["n"])
+        return pd.DataFrame({"slice": p["slice"].iloc[:1], "n": [np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    spark = hashes.sparkSession
+    parts = hashes.select("hs").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(count, "slice int, n binary")
+    rows = parts.groupBy("slice").applyInPandas(total, "slice int, n binary").collect()
+    return np.concatenate([np.frombuffer(r["n"], np.int32) for r in sorted(rows)]) if rows else np.zeros(BUCKETS, np.int32)
+
+
+def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
+    """(key, n, at, g) of the first n - ceil(similarity n) + 1 hashes of each row, from rare to frequent, without those that are there once."""
+
+    def run(batches):
+        counts = shared.value
+        for big in batches:
+            for b in (big.slice(i, rows) for i in range(0, big.num_rows, rows)):
+                size = b.column("hs").value_lengths().to_numpy(zero_copy_only=False)
+                g = b.column("hs").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                often = counts[g & (BUCKETS - 1)]
+                order = np.lexsort((g, often, row))
+                g, often = g[order], often[order]
+                at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) + 1
+                n = size[row]
+                kept = (at <= n - np.ceil(similarity * n - 1e-9) + 1) & (often > 1)
+                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(row[kept])), "n": pa.array(n[kept], pa.int32()), "at": pa.array(at[kept], pa.int32()), "g": pa.array(g[kept], pa.int64())})
+
+    return run
 
 
 def similar_classes(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,29 +105,43 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
 
     Classes of equal sets are formed first, so that copies make no pairs. Two sets of similarity t share a shingle among
     the first n - ceil(t n) + 1 of each when shingles are ordered from rare to frequent over the whole corpus; only those
-    are joined, and sets of too different sizes are skipped. Hot shingles come last in the order.
+    are joined, and sets of too different sizes or with too little left behind the shared one are skipped. Any order does: shingles go
+    by hash, and by counters of a fixed number, so that only the first ones are ever shuffled. Hot shingles come last. Equal hashes of
+    different shingles only add candidates, as similarities are taken from the texts.
     """
-    sh = shingles(docs, key, column, words)
-    ids = sh.select(key, F.when(F.size("sh") > 0, F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)).otherwise(F.concat(F.lit("none:"), F.col(key).cast("string"))).alias("fp"), "sh")
-    ids = materialize(ids, "shingles")
-    classes = ids.groupBy("fp").agg(F.min(key).alias("class_key"))
-    reps = materialize(ids.join(classes, (ids["fp"] == classes["fp"]) & (ids[key] == classes["class_key"])).filter(F.size("sh") > 0).select("class_key", "sh").dropDuplicates(["class_key"]), "reps")
-    flat = reps.select("class_key", F.size("sh").alias("n"), F.explode("sh").alias("g"))
-    df = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # shingles that one class alone holds come first in the order and join nothing: they only count
-    shared = lookup_join(flat, materialize(df.withColumn("size", F.col("df")), "shared"), "g", "size")
-    order = shared.groupBy("class_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("g").alias("h"), "g"))).alias("gs"))
-    prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("gs"))
-    heads = order.withColumn("k", prefix.cast("int")).filter("k > 0").select("class_key", "n", F.explode(F.slice("gs", 1, F.col("k"))).alias("x")).select("class_key", "n", F.col("x.g").alias("g"))
-    heads = materialize(heads, "heads")
+    spark = docs.sparkSession
+    fp = F.when(F.size("sh") > 0, F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)).otherwise(F.concat(F.lit("none:"), F.col(key).cast("string")))
+    ids = materialize(shingles(docs, key, column, words).select(key, fp.alias("fp")), "ids")
+    classes = materialize(ids.groupBy("fp").agg(F.min(key).alias("class_key")), "classes")
+    first = classes.filter(~F.startswith("fp", F.lit("none:"))).groupBy("class_key").agg(F.min("fp").alias("first"))
+    held = docs.select(key, column).join(first, docs[key] == first["class_key"])
+    held = held.join(ids.select(F.col(key).alias("__k"), F.col("fp").alias("__f")).distinct().groupBy("__k").agg(F.count(F.lit(1)).alias("forms")), F.col("class_key") == F.col("__k"))
+    # only where a key stands for several texts is its class's own looked up again
+    many = held.filter("forms > 1").select("class_key", column, "first")
+    own = shingles(many.withColumn("__id", F.struct("class_key", "first", column)), "__id", column, words).withColumn(key, F.lit(None)).select("__id", F.explode(F.array(fp)).alias("fp")).filter(F.col("fp") == F.col("__id.first")).select("__id.class_key", f"__id.{column}")
+    reps = held.filter("forms = 1").select("class_key", column).unionByName(own).dropDuplicates(["class_key"])
+    reps = materialize(reps, "reps")
+    sh = shingles(reps, "class_key", column, words).select("class_key", F.explode(F.array("sh")).alias("sh"))
+    hashes = sh.select("class_key", F.transform("sh", lambda x: F.xxhash64(x)).alias("hs"))
+    shared = spark.sparkContext.broadcast(_bucket_counts(hashes))
+    kind = dict(reps.dtypes)["class_key"]
+    heads = materialize(hashes.mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, n int, at int, g bigint"), "heads")
     a, b = heads.alias("a"), heads.alias("b")
     close = F.col("b.n") >= F.col("a.n") * similarity
-    cand = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close)
-    cand = cand.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct()
-    pa, pb = reps.select(F.col("class_key").alias("a"), F.col("sh").alias("sa")), reps.select(F.col("class_key").alias("b"), F.col("sh").alias("sb"))
+    left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    cand = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close & left)
+    cand = materialize(cand.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct(), "candidates")
+    discard(heads)
+    pa_, pb = reps.select(F.col("class_key").alias("a"), F.col(column).alias("ta")), reps.select(F.col("class_key").alias("b"), F.col(column).alias("tb"))
+    met = cand.join(pa_, "a").join(pb, "b").withColumn("__p", F.struct("a", "b", "tb"))
+    met = shingles(met, "__p", "ta", words).select("__p", F.col("sh").alias("sa")).withColumn("tb", F.col("__p.tb")).withColumn("__p", F.struct("__p.a", "__p.b", "sa"))
+    met = shingles(met, "__p", "tb", words).select("__p.a", "__p.b", "__p.sa", F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    pairs = cand.join(pa, "a").join(pb, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= similarity - 1e-9).select("a", "b", "jaccard")
-    return ids.select(key, "fp"), classes, materialize(pairs, "pairs")
+    pairs = met.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= similarity - 1e-9).select("a", "b", "jaccard")
+    pairs = materialize(pairs, "pairs")
+    for t in (reps, cand):
+        discard(t)
+    return ids.select(key, "fp"), classes, pairs
 
 
 def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
