@@ -8,7 +8,7 @@ from lexispark.operators import linking as L
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["near_dup_pairs", "dup_components", "canonical_docs", "heldout_anti"])
+@pytest.mark.parametrize("name", ["near_dup_pairs", "dup_components", "canonical_docs", "heldout_anti", "leakage_split"])
 def test_no_shingle_is_written(spark, monkeypatch, name):
     real, seen = L.materialize, []
 
