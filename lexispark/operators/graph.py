@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.skew import lookup_join
-from lexispark.session import discard, materialize
+from lexispark.session import discard, materialize, releasing
 
 
 def entity_edges(df: DataFrame, node: str, entities: list) -> DataFrame:
@@ -76,6 +76,7 @@ def _has_hub(edges: DataFrame) -> bool:
     return (ends.agg(F.max("n")).first()[0] or 0) >= HUB
 
 
+@releasing
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the least node joined to it.
 

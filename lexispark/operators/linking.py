@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators.graph import connected_components
+from lexispark.operators.graph import connected_components, union_all
 from lexispark.operators.skew import lookup_join
-from lexispark.session import discard, materialize
+from lexispark.session import discard, materialize, releasing
 
 #: Words of a shingle text: characters of scripts without blanks, else runs of letters and digits.
 WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}]]+"
@@ -56,6 +56,10 @@ def shingles(docs: DataFrame, key: str, column: str, words: int = 5) -> DataFram
 
 #: Counters of shingles by hash; two that share one only come later in the order.
 BUCKETS = 1 << 21
+#: Bytes of a sketch: how many shingles of a set fall on each of so many places.
+SKETCH = 64
+#: Prefixes meet in so many rounds, each of a part of the hashes, so that only that part is shuffled at a time.
+ROUNDS = 4
 
 
 def _bucket_counts(hashes: DataFrame) -> np.ndarray:
@@ -79,7 +83,9 @@ def _bucket_counts(hashes: DataFrame) -> np.ndarray:
 
 
 def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
-    """(key, n, at, g) of the first n - ceil(similarity n) + 1 hashes of each row, from rare to frequent, without those that are there once."""
+    """(key, n, at, g, sketch) of the first n - ceil(similarity n) + 1 hashes of each row, from rare to frequent, without those that are there
+    once; and one row with the sketch of each row that has such hashes, where at is 0.
+    """
 
     def run(batches):
         counts = shared.value
@@ -94,11 +100,31 @@ def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
                 at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) + 1
                 n = size[row]
                 kept = (at <= n - np.ceil(similarity * n - 1e-9) + 1) & (often > 1)
-                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(row[kept])), "n": pa.array(n[kept], pa.int32()), "at": pa.array(at[kept], pa.int32()), "g": pa.array(g[kept], pa.int64())})
+                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(row[kept])), "n": pa.array(n[kept], pa.int32()), "at": pa.array(at[kept], pa.int32()), "g": pa.array(g[kept], pa.int64()), "sketch": pa.nulls(int(kept.sum()), pa.binary())})
+                some = np.unique(row[kept])
+                sketch = np.minimum(np.bincount(row * SKETCH + (g >> 32 & SKETCH - 1), minlength=len(size) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+                none = np.zeros(len(some), np.int32)
+                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(some)), "n": pa.array(size[some], pa.int32()), "at": pa.array(none), "g": pa.array(none, pa.int64()), "sketch": pa.array([x.tobytes() for x in sketch[some]], pa.binary())})
+
+    return run
+
+
+def _possible(similarity: float):
+    """Pairs (a, b) whose sketches leave room for the similarity: sets share no more than the sum of the lesser counts."""
+
+    def run(batches):
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
+            n = (x.column("na").to_numpy() + x.column("nb").to_numpy()).astype(np.float64)
+            # a count of 255 stands for any larger one
+            more = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+            kept = more | (np.minimum(a, b).sum(axis=1) >= similarity / (1 + similarity) * n - 1e-6)
+            yield x.select(["a", "b"]).filter(pa.array(kept))
 
     return run
 
 
+@releasing
 def similar_classes(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(key, fp) of every document, (fp, class_key) of the classes of equal shingle sets, named by their least key, and the pairs
     (a, b, jaccard) of classes whose sets are similar, exactly and without comparing all pairs.
@@ -107,31 +133,39 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     the first n - ceil(t n) + 1 of each when shingles are ordered from rare to frequent over the whole corpus; only those
     are joined, and sets of too different sizes or with too little left behind the shared one are skipped. Any order does: shingles go
     by hash, and by counters of a fixed number, so that only the first ones are ever shuffled. Hot shingles come last. Equal hashes of
-    different shingles only add candidates, as similarities are taken from the texts.
+    different shingles only add candidates, as similarities are taken from the texts, of those pairs that a sketch does not rule out.
     """
     spark = docs.sparkSession
-    fp = F.when(F.size("sh") > 0, F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)).otherwise(F.concat(F.lit("none:"), F.col(key).cast("string")))
+    # 1 and the hash of a set; 0 and the key where there is none
+    fp = F.when(F.size("sh") > 0, F.concat(F.lit(b"\1"), F.unhex(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("string").cast("binary")))
     ids = materialize(shingles(docs, key, column, words).select(key, fp.alias("fp")), "ids")
     classes = materialize(ids.groupBy("fp").agg(F.min(key).alias("class_key")), "classes")
-    first = classes.filter(~F.startswith("fp", F.lit("none:"))).groupBy("class_key").agg(F.min("fp").alias("first"))
-    held = docs.select(key, column).join(first, docs[key] == first["class_key"])
-    held = held.join(ids.select(F.col(key).alias("__k"), F.col("fp").alias("__f")).distinct().groupBy("__k").agg(F.count(F.lit(1)).alias("forms")), F.col("class_key") == F.col("__k"))
+    first = classes.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).groupBy("class_key").agg(F.min("fp").alias("first"))
+    forms = ids.distinct().groupBy(F.col(key).alias("class_key")).agg(F.count(F.lit(1)).alias("forms"))
+    held = docs.select(F.col(key).alias("class_key"), column).join(first.join(forms, "class_key"), "class_key")
     # only where a key stands for several texts is its class's own looked up again
     many = held.filter("forms > 1").select("class_key", column, "first")
     own = shingles(many.withColumn("__id", F.struct("class_key", "first", column)), "__id", column, words).withColumn(key, F.lit(None)).select("__id", F.explode(F.array(fp)).alias("fp")).filter(F.col("fp") == F.col("__id.first")).select("__id.class_key", f"__id.{column}")
-    reps = held.filter("forms = 1").select("class_key", column).unionByName(own).dropDuplicates(["class_key"])
+    reps = held.filter("forms = 1").select("class_key", column).dropDuplicates(["class_key"]).unionByName(own.dropDuplicates(["class_key"]))
     reps = materialize(reps, "reps")
     sh = shingles(reps, "class_key", column, words).select("class_key", F.explode(F.array("sh")).alias("sh"))
     hashes = sh.select("class_key", F.transform("sh", lambda x: F.xxhash64(x)).alias("hs"))
     shared = spark.sparkContext.broadcast(_bucket_counts(hashes))
     kind = dict(reps.dtypes)["class_key"]
-    heads = materialize(hashes.mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, n int, at int, g bigint"), "heads")
-    a, b = heads.alias("a"), heads.alias("b")
+    heads = materialize(hashes.mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, n int, at int, g bigint, sketch binary"), "heads")
     close = F.col("b.n") >= F.col("a.n") * similarity
     left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    cand = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close & left)
-    cand = materialize(cand.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct(), "candidates")
-    discard(heads)
+    met = []
+    for k in range(ROUNDS):
+        part = heads.filter((F.col("at") > 0) & (F.pmod("g", F.lit(ROUNDS)) == k)).drop("sketch")
+        a, b = part.alias("a"), part.alias("b")
+        pair = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close & left)
+        met.append(materialize(pair.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct(), "met"))
+    sketch = lambda x: heads.filter("at = 0").select(F.col("class_key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    cand = union_all(met).distinct().join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    cand = materialize(cand.mapInArrow(_possible(similarity), f"a {kind}, b {kind}"), "candidates")
+    for t in (heads, *met):
+        discard(t)
     pa_, pb = reps.select(F.col("class_key").alias("a"), F.col(column).alias("ta")), reps.select(F.col("class_key").alias("b"), F.col(column).alias("tb"))
     met = cand.join(pa_, "a").join(pb, "b").withColumn("__p", F.struct("a", "b", "tb"))
     met = shingles(met, "__p", "ta", words).select("__p", F.col("sh").alias("sa")).withColumn("tb", F.col("__p.tb")).withColumn("__p", F.struct("__p.a", "__p.b", "sa"))

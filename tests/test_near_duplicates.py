@@ -1,5 +1,7 @@
 """Near-duplicates without a written or shuffled row per shingle."""
 
+import time
+
 import pytest
 
 import __spark_entry__ as entry
@@ -19,3 +21,18 @@ def test_no_shingle_is_written(spark, monkeypatch, name):
     monkeypatch.setattr(L, "materialize", spy)
     assert entry.queries()[name](spark, SF).count() >= 0
     assert seen and "array<string>" not in seen
+
+
+@pytest.mark.parametrize("name", ["dup_components"])
+def test_steps_leave_no_shuffle_files(spark, name):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(found.size()) if (f := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    df = entry.queries()[name](spark, SF)
+    until = time.time() + 15
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert df.count() >= 0
