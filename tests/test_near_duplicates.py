@@ -23,7 +23,7 @@ def test_no_shingle_is_written(spark, monkeypatch, name):
     assert seen and "array<string>" not in seen
 
 
-@pytest.mark.parametrize("name", ["dup_components", "heldout_anti", "canonical_docs"])
+@pytest.mark.parametrize("name", ["dup_components", "heldout_anti", "canonical_docs", "leakage_split"])
 def test_steps_leave_no_shuffle_files(spark, name):
     def files():
         found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
