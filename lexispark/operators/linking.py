@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexispark.functions import text as T
 from lexispark.operators.graph import connected_components, union_all
@@ -59,32 +63,61 @@ BUCKETS = 1 << 21
 #: Bytes of a sketch: how many shingles of a set fall on each of so many places.
 SKETCH = 64
 #: Prefixes meet in so many rounds, each of a part of the hashes, so that only that part is shuffled at a time.
-ROUNDS = 4
+ROUNDS = 8
+#: Up to so many classes the texts of candidates are found by broadcasting their keys.
+FEW = 200_000
 
 
-def _bucket_counts(hashes: DataFrame) -> np.ndarray:
-    """How many of the hashes (hs array<bigint>) of all rows fall on each of BUCKETS counters."""
+def _scanned(docs: DataFrame, key: str, column: str, words: int) -> DataFrame:
+    """(key, fp, tag, slice, n): every document's set, and in 32 rows of each task how many hashes fall on each of BUCKETS counters."""
     step = BUCKETS // 32
 
-    def count(batches):
+    def run(batches):
         n = np.zeros(BUCKETS, np.int32)
         for b in batches:
             np.add.at(n, b.column("hs").flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1), 1)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(32), pa.int32()), "n": pa.array([n[i * step : (i + 1) * step].tobytes() for i in range(32)], pa.binary())})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, "fp", "tag")), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], [key, "fp", "tag", "slice", "n"])
+        # by planes of bytes, as most of the higher ones are 0
+        planes = [zlib.compress(n[i * step : (i + 1) * step].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for i in range(32)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(32, t) for t in types), pa.array(range(32), pa.int32()), pa.array(planes, pa.binary())], [key, "fp", "tag", "slice", "n"])
+
+    sets = _sets(docs, key, column, words)
+    kind = dict(sets.dtypes)[key]
+    types = [to_arrow_type(sets.schema[key].dataType), pa.binary(), pa.int64()]
+    parts = sets.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return parts.mapInArrow(run, f"`{key}` {kind}, fp binary, tag bigint, slice int, n binary")
+
+
+def _sets(docs: DataFrame, key: str, column: str, words: int, fp: bool = True) -> DataFrame:
+    """(key, fp, tag, hs) of the shingles of each document: the hash of the set, one of the text and those of the shingles."""
+    hs = F.transform("sh", lambda x: F.xxhash64(x))
+    found = shingles(docs, key, column, words).select(key, *[_fingerprint(key).alias("fp")] * fp, F.explode(F.array(hs)).alias("hs"))
+    return found.select(key, *["fp"] * fp, F.xxhash64("hs").alias("tag"), "hs")
+
+
+def _fingerprint(key: str):
+    """1 and the hash of a set; 0 and the key where there is none."""
+    return F.when(F.size("sh") > 0, F.concat(F.lit(b"\1"), F.unhex(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("string").cast("binary")))
+
+
+def _bucket_counts(scanned: DataFrame) -> np.ndarray:
+    """The counters of all tasks of _scanned, summed."""
 
     def total(p: pd.DataFrame) -> pd.DataFrame:
-        n = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in p["n"])
+        n = sum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0].astype(np.int64) for x in p["n"])
         return pd.DataFrame({"slice": p["slice"].iloc[:1], "n": [np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    spark = hashes.sparkSession
-    parts = hashes.select("hs").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(count, "slice int, n binary")
-    rows = parts.groupBy("slice").applyInPandas(total, "slice int, n binary").collect()
+    rows = scanned.filter("slice is not null").select("slice", "n").groupBy("slice").applyInPandas(total, "slice int, n binary").collect()
     return np.concatenate([np.frombuffer(r["n"], np.int32) for r in sorted(rows)]) if rows else np.zeros(BUCKETS, np.int32)
 
 
+#: Bytes of a hash in a prefix; equal ones of different shingles only add candidates.
+WIDTH = 5
+
+
 def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
-    """(key, n, at, g, sketch) of the first n - ceil(similarity n) + 1 hashes of each row, from rare to frequent, without those that are there
-    once; and one row with the sketch of each row that has such hashes, where at is 0.
+    """(key, tag, n, head, sketch): of each row the first n - ceil(similarity n) + 1 hashes, from rare to frequent, WIDTH bytes
+    each, all 0 for those that are there once. Rows that have no others are left out.
     """
 
     def run(batches):
@@ -99,12 +132,36 @@ def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
                 g, often = g[order], often[order]
                 at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) + 1
                 n = size[row]
-                kept = (at <= n - np.ceil(similarity * n - 1e-9) + 1) & (often > 1)
-                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(row[kept])), "n": pa.array(n[kept], pa.int32()), "at": pa.array(at[kept], pa.int32()), "g": pa.array(g[kept], pa.int64()), "sketch": pa.nulls(int(kept.sum()), pa.binary())})
-                some = np.unique(row[kept])
+                first = at <= n - np.ceil(similarity * n - 1e-9) + 1
+                met = first & (often > 1)
+                some = np.unique(row[met])
+                first &= np.isin(row, some)
+                short = np.where(often > 1, np.maximum(g & (1 << 8 * WIDTH) - 1, 1), 0)[first].astype("<i8")
+                raw = np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+                ends = np.cumsum(np.bincount(row[first], minlength=len(size))[some]) * WIDTH
+                head = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(raw)])
                 sketch = np.minimum(np.bincount(row * SKETCH + (g >> 32 & SKETCH - 1), minlength=len(size) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
-                none = np.zeros(len(some), np.int32)
-                yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(some)), "n": pa.array(size[some], pa.int32()), "at": pa.array(none), "g": pa.array(none, pa.int64()), "sketch": pa.array([x.tobytes() for x in sketch[some]], pa.binary())})
+                take = lambda c: b.column(c).take(pa.array(some))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([take(key), take("tag"), pa.array(size[some], pa.int32()), head, pa.array([x.tobytes() for x in sketch[some]], pa.binary())], [key, "tag", "n", "head", "sketch"])
+
+    return run
+
+
+def _postings(part: int):
+    """(class_key, n, at, g) of the hashes of one round, from the heads; at counts from 1."""
+
+    def run(batches):
+        for b in batches:
+            size = pc.binary_length(b.column("head")).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
+            raw = np.frombuffer(b"".join(b.column("head").to_pylist()), np.uint8).reshape(-1, WIDTH)
+            g = np.zeros((len(raw), 8), np.uint8)
+            g[:, :WIDTH] = raw
+            g = g.view("<i8")[:, 0]
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) + 1
+            kept = np.flatnonzero((g > 0) & (g % ROUNDS == part))
+            own = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([b.column("class_key").take(own), b.column("n").take(own), pa.array(at[kept], pa.int32()), pa.array(g[kept], pa.int64())], ["class_key", "n", "at", "g"])
 
     return run
 
@@ -136,36 +193,44 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     different shingles only add candidates, as similarities are taken from the texts, of those pairs that a sketch does not rule out.
     """
     spark = docs.sparkSession
-    # 1 and the hash of a set; 0 and the key where there is none
-    fp = F.when(F.size("sh") > 0, F.concat(F.lit(b"\1"), F.unhex(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("string").cast("binary")))
-    ids = materialize(shingles(docs, key, column, words).select(key, fp.alias("fp")), "ids")
-    classes = materialize(ids.groupBy("fp").agg(F.min(key).alias("class_key")), "classes")
-    first = classes.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).groupBy("class_key").agg(F.min("fp").alias("first"))
-    forms = ids.distinct().groupBy(F.col(key).alias("class_key")).agg(F.count(F.lit(1)).alias("forms"))
-    held = docs.select(F.col(key).alias("class_key"), column).join(first.join(forms, "class_key"), "class_key")
-    # only where a key stands for several texts is its class's own looked up again
-    many = held.filter("forms > 1").select("class_key", column, "first")
-    own = shingles(many.withColumn("__id", F.struct("class_key", "first", column)), "__id", column, words).withColumn(key, F.lit(None)).select("__id", F.explode(F.array(fp)).alias("fp")).filter(F.col("fp") == F.col("__id.first")).select("__id.class_key", f"__id.{column}")
-    reps = held.filter("forms = 1").select("class_key", column).dropDuplicates(["class_key"]).unionByName(own.dropDuplicates(["class_key"]))
-    reps = materialize(reps, "reps")
-    sh = shingles(reps, "class_key", column, words).select("class_key", F.explode(F.array("sh")).alias("sh"))
-    hashes = sh.select("class_key", F.transform("sh", lambda x: F.xxhash64(x)).alias("hs"))
-    shared = spark.sparkContext.broadcast(_bucket_counts(hashes))
-    kind = dict(reps.dtypes)["class_key"]
-    heads = materialize(hashes.mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, n int, at int, g bigint, sketch binary"), "heads")
+    docs = docs.select(key, column)
+    ids = materialize(_scanned(docs, key, column, words), "ids")
+    shared = spark.sparkContext.broadcast(_bucket_counts(ids))
+    ids = ids.filter("slice is null").select(key, "fp", "tag")
+    least = materialize(ids.groupBy("fp").agg(F.min(F.struct(F.col(key).alias("class_key"), "tag")).alias("m")).select("fp", "m.class_key", "m.tag"), "classes")
+    # where a key stands for several texts, the least set is its class's own
+    own = least.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).groupBy("class_key").agg(F.min(F.struct("fp", F.col("tag").alias("own_tag"))).alias("m")).select("class_key", "m.*")
+    kind = dict(least.dtypes)["class_key"]
+    heads = _sets(docs.withColumnRenamed(key, "class_key"), "class_key", column, words, False).mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, tag bigint, n int, head binary, sketch binary")
+    # classes meet heads, not texts: those are never shuffled; nor are heads where the classes, or the texts that are no class's own, are few
+    own = materialize(own, "own")
+    chosen, full = own.select("class_key", F.col("own_tag").alias("tag")), ids.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).select(F.col(key).alias("class_key"), "tag")
+    classes = own.count()
+    if FEW < classes and full.count() - classes <= FEW:
+        heads = heads.join(F.broadcast(materialize(full.join(chosen, ["class_key", "tag"], "left_anti"), "copies")), ["class_key", "tag"], "left_anti")
+    else:
+        heads = heads.join(F.broadcast(chosen) if classes <= FEW else chosen, ["class_key", "tag"], "left_semi")
+    heads = materialize(heads.filter("class_key is not null").select("class_key", "n", "head", "sketch"), "heads")
+    shared.destroy()
     close = F.col("b.n") >= F.col("a.n") * similarity
     left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
     met = []
     for k in range(ROUNDS):
-        part = heads.filter((F.col("at") > 0) & (F.pmod("g", F.lit(ROUNDS)) == k)).drop("sketch")
+        part = heads.select("class_key", "n", "head").mapInArrow(_postings(k), f"class_key {kind}, n int, at int, g bigint")
         a, b = part.alias("a"), part.alias("b")
         pair = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close & left)
         met.append(materialize(pair.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct(), "met"))
-    sketch = lambda x: heads.filter("at = 0").select(F.col("class_key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    sketch = lambda x: heads.select(F.col("class_key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     cand = union_all(met).distinct().join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    cand = materialize(cand.mapInArrow(_possible(similarity), f"a {kind}, b {kind}"), "candidates")
+    cand = materialize(cand.mapInArrow(_possible(similarity), f"a {kind}, b {kind}").distinct(), "candidates")
     for t in (heads, *met):
         discard(t)
+    wanted = cand.select("a").unionAll(cand.select("b")).distinct().withColumnRenamed("a", "class_key").join(own.select("class_key", F.col("fp").alias("first")), "class_key")
+    wanted = materialize(wanted.withColumnRenamed("class_key", key), "wanted")
+    few = wanted.count() <= FEW
+    held = docs.join(F.broadcast(wanted) if few else wanted, key).withColumn("__id", F.struct(F.col(key).alias("class_key"), column, "first"))
+    reps = shingles(held, "__id", column, words).withColumn(key, F.lit(None)).select("__id", F.explode(F.array(_fingerprint(key))).alias("fp")).filter(F.col("fp") == F.col("__id.first"))
+    reps = materialize(reps.select("__id.class_key", f"__id.{column}").dropDuplicates(["class_key"]), "reps")
     pa_, pb = reps.select(F.col("class_key").alias("a"), F.col(column).alias("ta")), reps.select(F.col("class_key").alias("b"), F.col(column).alias("tb"))
     met = cand.join(pa_, "a").join(pb, "b").withColumn("__p", F.struct("a", "b", "tb"))
     met = shingles(met, "__p", "ta", words).select("__p", F.col("sh").alias("sa")).withColumn("tb", F.col("__p.tb")).withColumn("__p", F.struct("__p.a", "__p.b", "sa"))
@@ -173,9 +238,9 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     both = F.size(F.array_intersect("sa", "sb"))
     pairs = met.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= similarity - 1e-9).select("a", "b", "jaccard")
     pairs = materialize(pairs, "pairs")
-    for t in (reps, cand):
+    for t in (reps, wanted, cand, own):
         discard(t)
-    return ids.select(key, "fp"), classes, pairs
+    return ids.select(key, "fp"), least.select("fp", "class_key"), pairs
 
 
 def near_duplicates(docs: DataFrame, key: str, column: str, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -36,3 +36,29 @@ def test_steps_leave_no_shuffle_files(spark, name):
         time.sleep(0.2)
     assert not files() - before
     assert df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["canonical_docs"])
+def test_only_candidates_texts_are_written(spark, monkeypatch, name):
+    real, texts = L.materialize, []
+
+    def spy(df, label="t"):
+        out = real(df, label)
+        texts.extend([out.count()] if "text" in df.columns else [])
+        return out
+
+    monkeypatch.setattr(L, "materialize", spy)
+    assert entry.queries()[name](spark, SF).count() > 0
+    assert texts and max(texts) < spark.read.parquet(f"{SF}/documents.parquet").count() / 2
+
+
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_heads_by_broadcast_or_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(L, "FEW", few)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(f"{x}g{k // 4}" for x in words[: 60 - k % 2])) for k in range(160)]  # two texts, each twice, in each of 40 groups
+    rows += [(5, "another text of a key that is there twice"), (7, None), (None, "a b c d e f"), (900, "")]
+    ids, classes, pairs = L.similar_classes(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(4 * g, 4 * g + 1) for g in range(40)]
+    assert {r.class_key for r in classes.filter("substring(fp, 1, 1) = X'01'").collect()} == {None, 5, *[4 * g + d for g in range(40) for d in (0, 1)]}
+    assert ids.count() == len(rows)
