@@ -38,7 +38,7 @@ def test_steps_leave_no_shuffle_files(spark, name):
     assert df.count() >= 0
 
 
-@pytest.mark.parametrize("name", ["canonical_docs"])
+@pytest.mark.parametrize("name", ["canonical_docs", "leakage_split"])
 def test_only_candidates_texts_are_written(spark, monkeypatch, name):
     real, texts = L.materialize, []
 
