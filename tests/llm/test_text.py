@@ -55,6 +55,38 @@ def test_restores_damaged_lines(spark):
     assert got["f"].chain == "lost" and "n" not in got and "e" not in got
 
 
+def test_cases_are_those_of_restore(spark):
+    """Cases found without restoring them, and by a search that ends at the margin, are the same."""
+    bad = []
+    for i, x in enumerate(lines(160, 9)):
+        true, wrong = DAMAGE[i % len(DAMAGE)]
+        try:
+            bad.append(damage(x, true, wrong) + ("\ufffd" if i % 11 == 0 else ""))
+        except UnicodeEncodeError:
+            continue
+    rows = [(f"c{i}", x) for i, x in enumerate(lines(3000))] + [(f"d{i}", x) for i, x in enumerate(bad)] + [("f", "a\ufffdb"), ("n", None), ("e", ""), (None, "ÃÂ©")]
+    posts = spark.createDataFrame(rows + rows[-9:], "id string, content string")
+    want = {tuple(r) for r in mojibake.restore(posts, None).select("tbl", "rec_id").distinct().collect()}
+    got = mojibake.cases(posts, None).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 80
+
+
+def test_margin_is_looked_for_as_far_as_it_matters(spark):
+    texts = lines(400, 7)
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(lines(3000, 1), table)
+    shared = spark.sparkContext.broadcast(charlm.pack(table))
+    held = spark.createDataFrame([(x,) for x in texts], "text string")
+    far, near = mojibake._counted(held, shared, mojibake.STEPS), mojibake._counted(held, shared, mojibake.NEAR)
+    low = mojibake.NEAR
+    assert (far[:, :low] == near[:, :low]).all() and (far.sum(axis=1) == near.sum(axis=1)).all() and not near[:, low:-1].any() and far[1, low:-1].any()
+    assert mojibake._settled(near, low) and mojibake._told_apart(near) == mojibake._told_apart(far) == mojibake._validated_margin(held, shared)
+    # clean lines that gain more than the first steps: the best margin may lie beyond
+    counts = np.zeros((2, mojibake.STEPS), dtype=np.int64)
+    counts[0, 0], counts[0, -1], counts[1, -1] = 50, 50, 100
+    assert not mojibake._settled(counts, low)
+
+
 def test_restore_edges(spark):
     empty = spark.createDataFrame([], "id string, content string")
     none = spark.createDataFrame([], "line bigint, text string")
