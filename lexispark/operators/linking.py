@@ -64,6 +64,8 @@ BUCKETS = 1 << 21
 SKETCH = 64
 #: Prefixes meet in so many rounds, each of a part of the hashes, so that only that part is shuffled at a time.
 ROUNDS = 8
+#: Places of the hashes of prefixes, by which those that only one prefix holds are told before they are shuffled.
+PLACES = 1 << 27
 #: Up to so many classes the texts of candidates are found by broadcasting their keys.
 FEW = 200_000
 
@@ -96,8 +98,8 @@ def _sets(docs: DataFrame, key: str, column: str, words: int, fp: bool = True) -
 
 
 def _fingerprint(key: str):
-    """1 and the hash of a set; 0 and the key where there is none."""
-    return F.when(F.size("sh") > 0, F.concat(F.lit(b"\1"), F.unhex(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("string").cast("binary")))
+    """1 and the first half of the SHA-256 of a set; 0 and the key where there is none."""
+    return F.when(F.size("sh") > 0, F.concat(F.lit(b"\1"), F.unhex(F.substring(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256), 1, 32)))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("string").cast("binary")))
 
 
 def _bucket_counts(scanned: DataFrame) -> np.ndarray:
@@ -147,19 +149,69 @@ def _prefixes(shared, key: str, similarity: float, rows: int = 2000):
     return run
 
 
-def _postings(part: int):
-    """(class_key, n, at, g) of the hashes of one round, from the heads; at counts from 1."""
+def _hashes(head: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each head has, and all of them."""
+    size = pc.binary_length(head).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
+    raw = np.frombuffer(b"".join(head.to_pylist()), np.uint8).reshape(-1, WIDTH)
+    g = np.zeros((len(raw), 8), np.uint8)
+    g[:, :WIDTH] = raw
+    return size, g.view("<i8")[:, 0]
+
+
+def _bits(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each hash in a map of PLACES bits, of which each round has a part."""
+    own = PLACES // ROUNDS
+    at = g % ROUNDS * own + (g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % own
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
+def _repeated(heads: DataFrame) -> list[list[bytes]]:
+    """Per round a map, in compressed slices, of the places of hashes that are there more than once in the heads; others may
+    share a place with them.
+    """
+    each = 4
+    step = PLACES // 8 // ROUNDS // each
+
+    def run(batches):
+        once, more = np.zeros(PLACES // 8, np.uint8), np.zeros(PLACES // 8, np.uint8)
+        for b in batches:
+            g, n = np.unique(_hashes(b.column("head"))[1], return_counts=True)
+            at, bit = _bits(g)
+            again = (n > 1) | (once[at] & bit > 0)
+            np.bitwise_or.at(more, at[again], bit[again])
+            np.bitwise_or.at(once, at, bit)
+        for i in range(ROUNDS * each):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([zlib.compress(x[i * step : (i + 1) * step].tobytes(), 1)], pa.binary()) for x in (once, more))], ["slice", "once", "more"])
+
+    def total(p: pd.DataFrame) -> pd.DataFrame:
+        once, more = np.zeros(step, np.uint8), np.zeros(step, np.uint8)
+        for x, y in zip(p["once"], p["more"]):
+            x = np.frombuffer(zlib.decompress(x), np.uint8)
+            more |= np.frombuffer(zlib.decompress(y), np.uint8) | once & x
+            once |= x
+        return pd.DataFrame({"slice": p["slice"].iloc[:1], "more": [zlib.compress(more.tobytes(), 1)]})
+
+    parts = heads.select("head").coalesce(4 * heads.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "slice int, once binary, more binary")
+    rows = parts.groupBy("slice").applyInPandas(total, "slice int, more binary").collect()
+    by = {r["slice"]: bytes(r["more"]) for r in rows}
+    return [[by.get(k * each + i, zlib.compress(bytes(step))) for i in range(each)] for k in range(ROUNDS)]
+
+
+def _postings(part: int, repeated: list[bytes]):
+    """(class_key, n, at, g) of the hashes of one round, from the heads, without those that no other head holds (see _repeated); at
+    counts from 1.
+    """
+    before = part * PLACES // 8 // ROUNDS
 
     def run(batches):
+        more = np.frombuffer(b"".join(map(zlib.decompress, repeated)), np.uint8)
         for b in batches:
-            size = pc.binary_length(b.column("head")).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
-            raw = np.frombuffer(b"".join(b.column("head").to_pylist()), np.uint8).reshape(-1, WIDTH)
-            g = np.zeros((len(raw), 8), np.uint8)
-            g[:, :WIDTH] = raw
-            g = g.view("<i8")[:, 0]
+            size, g = _hashes(b.column("head"))
             row = np.repeat(np.arange(len(size)), size)
             at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) + 1
             kept = np.flatnonzero((g > 0) & (g % ROUNDS == part))
+            place, bit = _bits(g[kept])
+            kept = kept[more[place - before] & bit > 0]
             own = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays([b.column("class_key").take(own), b.column("n").take(own), pa.array(at[kept], pa.int32()), pa.array(g[kept], pa.int64())], ["class_key", "n", "at", "g"])
 
@@ -199,24 +251,26 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     ids = ids.filter("slice is null").select(key, "fp", "tag")
     least = materialize(ids.groupBy("fp").agg(F.min(F.struct(F.col(key).alias("class_key"), "tag")).alias("m")).select("fp", "m.class_key", "m.tag"), "classes")
     # where a key stands for several texts, the least set is its class's own
-    own = least.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).groupBy("class_key").agg(F.min(F.struct("fp", F.col("tag").alias("own_tag"))).alias("m")).select("class_key", "m.*")
+    firsts = least.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).groupBy("class_key").agg(F.min(F.struct("fp", F.col("tag").alias("own_tag"))).alias("m")).select("class_key", "m.*")
     kind = dict(least.dtypes)["class_key"]
     heads = _sets(docs.withColumnRenamed(key, "class_key"), "class_key", column, words, False).mapInArrow(_prefixes(shared, "class_key", similarity), f"class_key {kind}, tag bigint, n int, head binary, sketch binary")
     # classes meet heads, not texts: those are never shuffled; nor are heads where the classes, or the texts that are no class's own, are few
-    own = materialize(own, "own")
-    chosen, full = own.select("class_key", F.col("own_tag").alias("tag")), ids.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).select(F.col(key).alias("class_key"), "tag")
-    classes = own.count()
+    chosen = materialize(firsts.select("class_key", F.col("own_tag").alias("tag")), "own")
+    full = ids.filter(F.substring("fp", 1, 1) == F.lit(b"\1")).select(F.col(key).alias("class_key"), "tag")
+    classes = chosen.count()
     if FEW < classes and full.count() - classes <= FEW:
         heads = heads.join(F.broadcast(materialize(full.join(chosen, ["class_key", "tag"], "left_anti"), "copies")), ["class_key", "tag"], "left_anti")
     else:
         heads = heads.join(F.broadcast(chosen) if classes <= FEW else chosen, ["class_key", "tag"], "left_semi")
     heads = materialize(heads.filter("class_key is not null").select("class_key", "n", "head", "sketch"), "heads")
     shared.destroy()
+    discard(chosen)
+    repeated = _repeated(heads)
     close = F.col("b.n") >= F.col("a.n") * similarity
     left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
     met = []
     for k in range(ROUNDS):
-        part = heads.select("class_key", "n", "head").mapInArrow(_postings(k), f"class_key {kind}, n int, at int, g bigint")
+        part = heads.select("class_key", "n", "head").mapInArrow(_postings(k, repeated[k]), f"class_key {kind}, n int, at int, g bigint")
         a, b = part.alias("a"), part.alias("b")
         pair = a.join(b, (F.col("a.g") == F.col("b.g")) & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_key") < F.col("b.class_key")))) & close & left)
         met.append(materialize(pair.select(F.least("a.class_key", "b.class_key").alias("a"), F.greatest("a.class_key", "b.class_key").alias("b")).distinct(), "met"))
@@ -225,7 +279,7 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     cand = materialize(cand.mapInArrow(_possible(similarity), f"a {kind}, b {kind}").distinct(), "candidates")
     for t in (heads, *met):
         discard(t)
-    wanted = cand.select("a").unionAll(cand.select("b")).distinct().withColumnRenamed("a", "class_key").join(own.select("class_key", F.col("fp").alias("first")), "class_key")
+    wanted = cand.select("a").unionAll(cand.select("b")).distinct().withColumnRenamed("a", "class_key").join(firsts.select("class_key", F.col("fp").alias("first")), "class_key")
     wanted = materialize(wanted.withColumnRenamed("class_key", key), "wanted")
     few = wanted.count() <= FEW
     held = docs.join(F.broadcast(wanted) if few else wanted, key).withColumn("__id", F.struct(F.col(key).alias("class_key"), column, "first"))
@@ -238,7 +292,7 @@ def similar_classes(docs: DataFrame, key: str, column: str, similarity: float =
     both = F.size(F.array_intersect("sa", "sb"))
     pairs = met.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("jaccard") >= similarity - 1e-9).select("a", "b", "jaccard")
     pairs = materialize(pairs, "pairs")
-    for t in (reps, wanted, cand, own):
+    for t in (reps, wanted, cand):
         discard(t)
     return ids.select(key, "fp"), least.select("fp", "class_key"), pairs
 
