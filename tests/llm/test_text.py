@@ -389,3 +389,43 @@ def test_spans_reach_back_as_far_as_it_scores():
         choices = [c for k in range(8) for c in itertools.combinations(places[1:-1], k)]
         got = [p for p in places[1:-1] if p[0] in set(sentences._best_spans(places, model))]
         assert worth(got) == pytest.approx(max(map(worth, choices)))
+
+
+ODD = ["", "plain", "a ~{VPND~} b", "+AGEAYgBj-", "été “x”", "“x”", "ﾊﾝｶｸ", "漢字", "한글", "\x85", "\x81", "�", "Ã©tÃ©", "ÎºÎ±Î¹ ÏƒÎ¿Ï†Î¯Î±", "𝟎 x", "１２ ３", "Ã¦â€\x9d Â½Â² ÃÃÃÃ"]
+
+
+def test_p4_lines_are_searched_without_levels(monkeypatch):
+    texts = [*ODD, *lines(40), *(y for x in lines(40) for _, y in mojibake.hurt(x))]
+    assert [mojibake.searched(x) for x in texts] == [v > 0 for v in mojibake.suspicions(texts)]
+    table = np.zeros(charlm.SLOTS, dtype=np.int64)
+    charlm.count(lines(400), table)
+    monkeypatch.setattr(mojibake, "suspicions", None)
+    gains = mojibake._gains(mojibake.Restorer(charlm.Model(table), 0.0), texts, mojibake.NEAR)
+    assert len(gains) == len(texts) and max(gains) > mojibake.NEAR * mojibake.STEP and gains[0] == gains[1] == 0.0
+
+
+def test_p4_damage_and_density_as_said_by_character():
+    for x in [*ODD, *lines(60)]:
+        for _, y in mojibake.hurt(x):
+            high = sum(c > "\x7f" for c in y)
+            solid, signs = sum(not c.isspace() and not c.isdigit() for c in y), sum("\x80" <= c <= "ǿ" or "‐" <= c <= "◿" for c in y)
+            assert mojibake._dense(y) == (high >= 6 and high * 5 >= 2 * solid and signs * 5 >= 4 * high)
+        for true, wrong in (("cp1251", "cp1252"), ("cp1253", "cp437"), ("cp874", "mac_roman")):
+            if all(c < "\x80" or c in mojibake.BYTE_OF[true] for c in x):
+                assert mojibake._misread(x, true, wrong) == "".join(mojibake.TABLES[wrong][mojibake.BYTE_OF[true][c] if c > "\x7f" else ord(c)] for c in x)
+
+
+def test_p4_starts_as_said_by_match():
+    for s in ["a.b c!d 3.14です。次。\n", ">>0。次 >>12-34 漢字 です\n", "見て>>0 と言う。>>0  漢字。\n", "x.y!Z。w.w ~a\n", "「あ。」い (笑)う ww え\n", "\n"]:
+        x = sentences.Lines([s])
+        want = []
+        for m in sentences.CANDIDATE.finditer(x.s):
+            i, j = m.span()
+            low = lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789=/&_-@%+#"
+            if i == j or x.s[j - 1] == " ":
+                part = x.s[max(0, i - 12) : j]
+                ok = not (">>" in part and sentences.ANCHOR.search(part))
+            else:
+                ok = not (low(x.s[j]) and (i == 0 or low(x.s[i - 1])) and x.s[j - 1] in ".!?~")
+            want += [j] * ok
+        assert x._starts(x.s).tolist() == want
